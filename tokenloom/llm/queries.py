@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, pieces, quality_rules, tokens, toxicity
+from . import exact_dedup, hidden_markov, mixing, pieces, quality_rules, tokens, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op6_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.scored(documents(spark, sf_dir))
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.id_digests(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_hidden_markov": op6_hidden_markov,
     "op7_token_ids": op7_token_ids,
     "op9_pieces": op9_pieces,
     "op10_quality_rules": op10_quality_rules,

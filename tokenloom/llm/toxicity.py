@@ -2,8 +2,8 @@
 
 Features of a text: densities of two tiers of a lexicon (as written and after undoing obfuscation), how near its words stand to
 second-person words, capitals, punctuation, digits and obfuscated words.  The lexicon is learned: over all labelled training rows
-the document frequency of every normalised word is counted by class, and the words with the highest z-scores form it (at most
-LEXICON).  Trees are fitted on at most SAMPLE labelled training rows, the isotonic map on at most SAMPLE others; these two bounds
+the document frequency of every normalised word and stem is counted by class, and those with the highest likelihood ratios form it
+(at most LEXICON).  Trees are fitted on at most SAMPLE labelled training rows, the isotonic map on at most SAMPLE others; these two bounds
 are the only ones, and every document is scored on its whole text.
 
 Nulls: a null text counts as empty; empty texts have zero features and get the score of such.  Labels that are null, or whose
@@ -20,10 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, fold
-from .textscan import is_space, lowered, span_hashes, text_bytes, word_spans
+from .textscan import is_space, lowered, mix, span_hashes, text_bytes, word_spans
 
 LEXICON = 400
 MIN_DOCUMENTS = 5
+#: Above what millions of words reach by chance.
+LEAST_Z = 6.0
+STEMS = (5, 6, 7, 8)
 SAMPLE = 30_000
 TREES, DEPTH, RATE, BINS, LEAST = 60, 4, 0.2, 32, 20
 FOLDS, HELD_OUT = 4, 2
@@ -42,7 +45,8 @@ _letter[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def normal_words(raw: np.ndarray, at: np.ndarray) -> tuple:
-    """Words of lower-cased bytes: starts, ends, firsts, plain hashes (trimmed of punctuation), normal hashes (disguises undone).
+    """Words of lower-cased bytes: starts, ends, firsts, plain hashes (trimmed of punctuation), and hashes of the
+    words with disguises undone followed by those of their stems (first bytes; 0 for shorter words).
 
     A disguise counts only inside a word, so the punctuation around it is trimmed first.
     """
@@ -65,21 +69,28 @@ def normal_words(raw: np.ndarray, at: np.ndarray) -> tuple:
     undone = _undo[low]
     keep = _letter[undone] | is_space(low)
     moved = np.concatenate([[0], np.cumsum(keep)])
-    normal = span_hashes(undone[keep], moved[lead], moved[inner_e])
-    return starts, ends, firsts, plain, normal
+    begin, stop = moved[lead], moved[inner_e]
+    kept = undone[keep]
+    streams = [span_hashes(kept, begin, stop)]
+    for size in STEMS:
+        long = stop - begin > size
+        stem = np.zeros(len(begin), np.uint64)
+        stem[long] = mix(span_hashes(kept, begin[long], begin[long] + size) + np.uint64(size))
+        streams.append(stem)
+    return starts, ends, firsts, plain, streams
 
 
 def features(column: pa.Array, strong: np.ndarray, weak: np.ndarray) -> np.ndarray:
     """One row of NAMES for each text; strong and weak are sorted hashes of normalised words."""
     raw, at = text_bytes(column)
     n = len(column)
-    starts, ends, firsts, plain, normal = normal_words(raw, at)
+    starts, ends, firsts, plain, streams = normal_words(raw, at)
     count = np.diff(firsts)
     row = np.repeat(np.arange(n), count)
     byte_row = np.repeat(np.arange(n), np.diff(at))
     per = lambda mask: np.bincount(row[mask], minlength=n).astype(float)
     chars = lambda mask: np.bincount(byte_row[mask], minlength=n).astype(float)
-    hit, hit_plain, hit_weak = _within(normal, strong), _within(plain, strong), _within(normal, weak)
+    hit, hit_plain, hit_weak = _any(streams, strong), _within(plain, strong) | _any(streams[1:], strong), _any(streams, weak)
     you = _within(plain, _second_person())
     words, letters = np.maximum(count, 1), np.maximum(chars(_letter[raw]), 1)
     upper = (raw >= 65) & (raw <= 90)
@@ -118,6 +129,10 @@ def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
+def _any(streams: list[np.ndarray], known: np.ndarray) -> np.ndarray:
+    return np.logical_or.reduce([_within(x, known) for x in streams])
+
+
 def hashes_of(words: tuple[str, ...]) -> np.ndarray:
     raw, at = text_bytes(pa.array([" ".join(words)]))
     return np.unique(normal_words(raw, at)[3])
@@ -215,9 +230,9 @@ def learn(labelled: DataFrame) -> dict:
     def words_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = text_bytes(batch.column(0))
-            _, _, firsts, _, normal = normal_words(raw, at)
+            _, _, firsts, _, streams = normal_words(raw, at)
             label = np.array(batch.column(1))
-            seen = [np.unique(normal[firsts[i] : firsts[i + 1]]) for i in range(batch.num_rows)]
+            seen = [np.unique(np.concatenate([x[firsts[i] : firsts[i + 1]] for x in streams])) for i in range(batch.num_rows)]
             for t in (0, 1):
                 mine = [s for s, v in zip(seen, label, strict=True) if v == t]
                 word, n = np.unique(np.concatenate(mine), return_counts=True) if mine else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -228,15 +243,17 @@ def learn(labelled: DataFrame) -> dict:
     if not toxic or not clean:
         return {"share": toxic / max(1.0, toxic + clean)}
     words = labelled.where("part = 0").select("text", "label").mapInArrow(words_seen, "word long, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    odds = F.log(a / (toxic + 1 - a)) - F.log(b / (clean + 1 - b))
-    ranked = words.where((F.col("a") >= MIN_DOCUMENTS) & (a < toxic + 1) & (b < clean + 1)).select("word", (odds / F.sqrt(1 / a + 1 / b)).alias("z"), odds.alias("odds"))
-    top = ranked.where("z > 4 and odds > 1.5").orderBy(F.col("z").desc(), "word").limit(LEXICON).collect()
+    # Root of the likelihood ratio of the 2 x 2 table (word seen or not, toxic or clean).
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    part = lambda n, of: F.when(n > 0, n * F.log(n / of)).otherwise(0.0)
+    share = (a + b) / (toxic + clean)
+    ratio = part(a, toxic * share) + part(b, clean * share) + part(toxic - a, toxic * (1 - share)) + part(clean - b, clean * (1 - share))
+    odds = F.log((a + 0.5) / (toxic + 0.5)) - F.log((b + 0.5) / (clean + 0.5))
+    ranked = words.where(f"a >= {MIN_DOCUMENTS} and word != 0").select("word", F.sqrt(2 * F.greatest(ratio, F.lit(0.0))).alias("z"), odds.alias("odds"))
+    top = ranked.where(f"z > {LEAST_Z} and odds > 1.5").orderBy(F.col("z").desc(), "word").limit(LEXICON).collect()
     most = top[0]["z"] if top else 0.0
-    # With many words tried, some pass a fixed threshold by chance; a word must also come near the best.
-    top = [r for r in top if r["z"] >= 0.3 * most]
     tier = lambda keep: np.sort(np.array([r["word"] for r in top if keep(r["z"])], np.int64).view(np.uint64))
-    model = {"strong": tier(lambda z: z >= 0.6 * most), "weak": tier(lambda z: z < 0.6 * most)}
+    model = {"strong": tier(lambda z: z >= 0.4 * most), "weak": tier(lambda z: z < 0.4 * most)}
     sample = lambda part: labelled.where(F.col("part") == part).orderBy(F.xxhash64("text"), "label").limit(SAMPLE).select("text", "label")
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
