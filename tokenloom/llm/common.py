@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,11 @@ class Scratch:
         df.write.option("compression", codec).mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of phases whose results are written; it tracks them by driver garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path(name))
@@ -65,3 +71,23 @@ def words(text: Column) -> Column:
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, mod modulus; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """node, label: the smallest node that ``links`` (a, b) reach from it; nodes without links are left out.
+
+    Each round takes the least label among neighbours and then the label's own label, until nothing changes.
+    """
+    edges = scratch.table(links.select("a", "b").union(links.select("b", "a")).toDF("a", "b").distinct(), f"{name}-edges")
+    labels = scratch.table(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), f"{name}-0")
+    step = 0
+    while True:
+        step += 1
+        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        moved = lower.join(jump, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"), "old")
+        moved = scratch.table(moved, f"{name}-{step}")
+        labels = moved.select("node", "label")
+        if not moved.where("label < old").take(1):
+            return labels
