@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hidden_markov, mixing, ngram_join, pieces, quality_rules, tokens, toxicity
+from . import exact_dedup, hidden_markov, mixing, ngram_join, pieces, quality_rules, repeats, tokens, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.id_digests(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(documents(spark, sf_dir))
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trips(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_hidden_markov": op6_hidden_markov,
     "op7_token_ids": op7_token_ids,
+    "op8_suffix_repeats": op8_suffix_repeats,
     "op9_pieces": op9_pieces,
     "op10_quality_rules": op10_quality_rules,
 }
