@@ -31,10 +31,10 @@ from .textscan import _BYTE, mix, powers, text_bytes
 
 LENGTH = 200
 GRAM = 32
-SAMPLE = 16
+SAMPLE = 10
 SPREAD = 2048
-SHARD_BYTES = 4 << 20
-SCAN_BYTES = 1 << 21
+SHARD_BYTES = 1 << 18
+SCAN_BYTES = 1 << 18
 
 
 # Anchors -------------------------------------------------------------------------------------------------------------------
@@ -81,7 +81,17 @@ def _assigned(position: np.ndarray, hashes: np.ndarray, at: np.ndarray, length:
     value, n, reach = hashes[position], len(position), length - gram
     low = np.maximum(position - reach, at[row])
     high = np.minimum(position, at[row + 1] - length)
-    active, d = np.arange(n), 0
+    left_open, right_open = np.ones(n, bool), np.ones(n, bool)
+    for d in range(1, min(4, n)):  # the nearest few, as whole arrays: most candidates end here
+        near = (position[d:] - position[:-d] <= reach) & (row[d:] == row[:-d])
+        less = near & left_open[d:] & (value[:-d] < value[d:])
+        low[d:][less] = position[:-d][less] + 1
+        left_open[d:] &= ~less
+        less = near & right_open[:-d] & (value[d:] <= value[:-d])
+        high[:-d][less] = np.minimum(high[:-d][less], position[d:][less] - reach - 1)
+        right_open[:-d] &= ~less
+    alive = low <= high
+    active, d = np.flatnonzero(alive & left_open), 3
     while len(active):  # a smaller hash to the left takes the strings that hold it
         d += 1
         active = active[active >= d]
@@ -89,7 +99,7 @@ def _assigned(position: np.ndarray, hashes: np.ndarray, at: np.ndarray, length:
         less = value[active - d] < value[active]
         low[active[less]] = position[active[less] - d] + 1
         active = active[~less]
-    active, d = np.arange(n), 0
+    active, d = np.flatnonzero(alive & right_open), 3
     while len(active):  # to the right, an equal one as well
         d += 1
         active = active[active + d < n]
@@ -127,9 +137,9 @@ def suffix_array(data: np.ndarray, stop: np.ndarray, enough: int) -> tuple[np.nd
     for i in range(7):
         key = (key << np.uint64(8)) | np.where(room > i, padded[i : i + n], 0)
     key = (key << np.uint64(8)) | np.minimum(room, 7).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key, kind="stable").astype(np.int32)
     sorted_key = key[order]
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
 
     def heads(changed: np.ndarray) -> np.ndarray:
         """The first place of the group that each place is in."""
@@ -146,7 +156,7 @@ def suffix_array(data: np.ndarray, stop: np.ndarray, enough: int) -> tuple[np.nd
             break
         who = order[places]
         follow = np.where(room[who] > h, rank[np.minimum(who + h, n - 1)] + 1, 0)
-        again = np.argsort(group[places] * (n + 2) + follow, kind="stable")
+        again = np.argsort(group[places].astype(np.int64) * (n + 2) + follow, kind="stable")
         who, follow = who[again], follow[again]
         order[places] = who
         g = group[places]
@@ -253,7 +263,14 @@ def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def solve() -> Iterator[pa.RecordBatch]:
-        marks = repeated_starts([x[3] for x in held], np.array([x[4] for x in held]))
+        # An anchor whose segments are all equal has nothing to sort: its count tells.
+        _, inverse, number = np.unique(np.array([x[0] for x in held]), return_inverse=True, return_counts=True)
+        several = (number[inverse] > 1) | np.array([x[5] for x in held])
+        marks = [np.full(len(x[3]) - LENGTH + 1, x[4] > 1) for x in held]
+        sorted_ = np.flatnonzero(several)
+        if len(sorted_):
+            for i, hit in zip(sorted_, repeated_starts([held[i][3] for i in sorted_], np.array([held[i][4] for i in sorted_])), strict=True):
+                marks[i] = hit
         out, open_ = [], []
         for (anchor, shard, digest, segment, _, spread), hit in zip(held, marks, strict=True):
             a, b = runs(hit)
@@ -326,7 +343,7 @@ def merged_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (key, text, starts, ends): n_removed, n_spans and kept_sha256 of each text, and what is kept."""
-    for batch in batches:
+    for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
         rows = []
         for text, starts, ends in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
             raw = text.encode()
