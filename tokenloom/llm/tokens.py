@@ -14,8 +14,10 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +27,23 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 BATCH_BYTES = 1 << 20
-MEMORY_BYTES = 96 << 20
-_PIECE = re.compile("[ ]?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+MEMORY_BYTES = 192 << 20
+#: A run of common letters ends before white space and before ASCII punctuation other than an apostrophe; other pieces run to the
+#: next white space.
+_LETTERS = "[ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_PIECE = re.compile(_LETTERS + r"(?=[ \t\n\r!-&(-/:-@\[-`{-~]|\Z)|[ ]?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+_WORD = re.compile(_LETTERS)
 #: White space and format characters on which regex engines differ.
 _ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 
 
+def byte_alphabet() -> dict[int, int]:
+    """The printable character that stands for each byte: itself where Latin-1 prints it, else the next free one from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b != 173]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
+
+
 class Library:
     """Ids of whole texts by the library for a vocabulary file: .json or .model."""
 
@@ -53,6 +66,10 @@ class Library:
             pre = spec.get("pre_tokenizer") or {}
             self.pieces = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout")
             self.size = tok.get_vocab_size()
+            # The pre-tokenizer leaves a run of letters whole, so the library's model can take it without the steps before.
+            split = tok.model.tokenize
+            alphabet = byte_alphabet()
+            self.word = lambda piece: [t.id for t in split(piece.encode().decode("latin-1").translate(alphabet))]
         elif path.endswith(".model"):
             import sentencepiece
 
@@ -90,8 +107,13 @@ class Library:
                 self.memory.clear()
                 self.held = 0
                 missing = list(wanted)
-            for piece, ids in zip(missing, self.encode(missing), strict=True):
-                self.memory[piece] = np.array(ids, self.type).tobytes()
+            code = "H" if self.type.itemsize == 2 else "I"
+            plain, others = [], []
+            for piece in missing:
+                (plain if _WORD.fullmatch(piece) else others).append(piece)
+            found = zip(others, self.encode(others), strict=True) if others else ()
+            for piece, ids in chain(found, zip(plain, map(self.word, plain), strict=True)):
+                self.memory[piece] = array(code, ids).tobytes()
                 self.held += 2 * len(piece) + 160
         known = self.memory.__getitem__
         for i, pieces in cut:
