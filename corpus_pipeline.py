@@ -40,8 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds piece_ids, and decoded: the bytes that they stand for."""
-    path = vocabulary_path()
-    return pieces.decoded(pieces.encoded(docs, path), path)
+    return pieces.encoded(docs, vocabulary_path(), back="decoded")
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("n-gram join", near), ("mixing", mix), ("pieces", encode)]

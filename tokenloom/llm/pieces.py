@@ -29,7 +29,7 @@ from .tokens import balanced
 
 SPACE = "▁"
 UNKNOWN = 10.0
-MEMORY_BYTES = 128 << 20
+MEMORY_BYTES = 96 << 20
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -125,23 +125,26 @@ def segmenter(path: str) -> Segmenter:
     return Segmenter.from_file(path)
 
 
-def encoded(docs: DataFrame, path: str, text: str = "text", out: str = "piece_ids") -> DataFrame:
-    """``docs`` with the column ``out`` of ids, array<int>."""
+def encoded(docs: DataFrame, path: str, text: str = "text", out: str = "piece_ids", back: str | None = None) -> DataFrame:
+    """``docs`` with the column ``out`` of ids, array<int>, and with the column ``back`` of the bytes decoded from them."""
     fields = docs.schema.fields
+    names = [f"c{i}" for i in range(len(fields))] + ["ids"] + ["back"] * bool(back)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = segmenter(path)
         for batch in batches:
             for first, texts in balanced(batch.column(batch.num_columns - 1)):
-                ids = [seg.packed(t) for t in texts]
-                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                part = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], values], [*(f"c{i}" for i in range(len(fields))), "ids"])
+                ids = [np.frombuffer(seg.packed(t), "<i4") for t in texts]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                values = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))]
+                if back:
+                    values.append(pa.array([seg.decode(x.tolist()) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(texts)).columns[:-1], *values], names)
 
     named = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields)], F.col(text).alias("input"))
-    schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), "ids array<int>"])
-    return named.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(fields)], F.col("ids").alias(out))
+    schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), "ids array<int>"] + ["back binary"] * bool(back))
+    added = [F.col("ids").alias(out)] + ([F.col("back").alias(back)] if back else [])
+    return named.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(fields)], *added)
 
 
 def decoded(docs: DataFrame, path: str, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:
@@ -149,7 +152,7 @@ def decoded(docs: DataFrame, path: str, ids: str = "piece_ids", out: str = "deco
 
     def one(batch: pa.Array) -> pa.Array:
         seg = segmenter(path)
-        return pa.array([None if x is None else seg.decode(x) for x in batch.to_pylist()], pa.binary())
+        return pa.array([seg.decode(x.values.to_pylist()) if x.is_valid else None for x in batch], pa.binary())
 
     return docs.withColumn(out, F.arrow_udf(one, "binary")(F.col(ids)))
 
