@@ -60,6 +60,11 @@ def targets(histogram: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget:
     return per.select("source", "source_size", target.cast("double").alias("target"))
 
 
+def exact_sum(name: str) -> Column:
+    """A sum in units of 1/1024 as integers, so that the order of rows can't change it and reruns agree."""
+    return (F.sum(F.round(F.col(name) * 1024).cast("long")) / 1024).alias(name)
+
+
 def rate(cap: float) -> Column:
     return F.when(F.col("full"), F.lit(float(cap))).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("multiplier") * F.col("size") / F.col("scale"), F.lit(50.0)))))
 
@@ -79,7 +84,7 @@ def multipliers(histogram: DataFrame, wanted: DataFrame, scratch: Scratch, cap:
         words = F.col("size") * F.col("docs") * rate(cap)
         slope = F.when(rate(cap) < cap, words * F.col("size") / F.col("scale")).otherwise(0.0)
         open_ = state.where("not full and not none and miss > %r" % TOLERANCE)
-        sums = histogram.alias("a").join(open_.alias("b"), same).select("b.source", words.alias("words"), slope.alias("slope")).groupBy("source").agg(F.sum("words").alias("words"), F.sum("slope").alias("slope"))
+        sums = histogram.alias("a").join(open_.alias("b"), same).select("b.source", words.alias("words"), slope.alias("slope")).groupBy("source").agg(exact_sum("words"), exact_sum("slope"))
         moved = state.alias("a").join(sums.alias("b"), same, "left").select("a.*", "b.words", "b.slope")
         over = F.col("words") - F.col("target")
         moved = (
