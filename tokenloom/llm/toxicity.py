@@ -222,13 +222,19 @@ def score_of(model: dict, x: np.ndarray) -> np.ndarray:
 # Spark ---------------------------------------------------------------------------------------------------------------------
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 300) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows: the work on bytes takes many times their size."""
+    return (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+
 def learn(labelled: DataFrame) -> dict:
     """The model from (text, label, part): part 0 fits lexicon and trees, part 1 the isotonic map."""
     scratch = Scratch(labelled.sparkSession, "toxicity")
     labelled = scratch.table(labelled.where(F.col("label").isin(0, 1)), "labelled")
+    scratch.release()
 
     def words_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw, at = text_bytes(batch.column(0))
             _, _, firsts, _, streams = normal_words(raw, at)
             label = np.array(batch.column(1))
@@ -257,7 +263,7 @@ def learn(labelled: DataFrame) -> dict:
     sample = lambda part: labelled.where(F.col("part") == part).orderBy(F.xxhash64("text"), "label").limit(SAMPLE).select("text", "label")
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = features(batch.column(0), model["strong"], model["weak"])
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
 
@@ -266,6 +272,8 @@ def learn(labelled: DataFrame) -> dict:
         rows = sample(part).mapInArrow(dense, "label int, x array<double>").collect()
         parts.append((np.array([r["x"] for r in rows]).reshape(-1, len(NAMES)), np.array([r["label"] for r in rows], float)))
     (x, y), (x2, y2) = parts
+    scratch.drop("labelled")
+    scratch.release()
     model |= fit_trees(x, y)
     if not len(y2):
         x2, y2 = x, y
@@ -283,11 +291,9 @@ def scored(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                few = batch.slice(at, 500)
-                x = features(few.column(1), model.get("strong", np.zeros(0, np.uint64)), model.get("weak", np.zeros(0, np.uint64)))
-                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(score_of(model, x))], ["doc_id", "score"])
+        for few in slices(batches):
+            x = features(few.column(1), model.get("strong", np.zeros(0, np.uint64)), model.get("weak", np.zeros(0, np.uint64)))
+            yield pa.RecordBatch.from_arrays([few.column(0), pa.array(score_of(model, x))], ["doc_id", "score"])
 
     out = slim.mapInArrow(run, f"doc_id {kind}, score double")
     return out.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
