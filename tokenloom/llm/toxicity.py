@@ -30,6 +30,8 @@ STEMS = (5, 6, 7, 8)
 SAMPLE = 30_000
 TREES, DEPTH, RATE, BINS, LEAST = 60, 4, 0.2, 32, 20
 FOLDS, HELD_OUT = 4, 2
+#: Words of 64 bits in the filter that tells texts without a label before they are shuffled: at most so many rows are broadcast.
+FILTER_WORDS = 1 << 17
 THRESHOLD = 0.3
 #: Second-person words of the languages covered.
 SECOND_PERSON = ("you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "sie", "tu", "te", "toi", "ton", "ta", "tes", "vous", "votre", "vos", "tú", "ti", "tus", "usted", "ustedes", "vosotros")
@@ -230,7 +232,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 300) -> Iterator[pa.Re
 def learn(labelled: DataFrame) -> dict:
     """The model from (text, label, part): part 0 fits lexicon and trees, part 1 the isotonic map."""
     scratch = Scratch(labelled.sparkSession, "toxicity")
-    labelled = scratch.table(labelled.where(F.col("label").isin(0, 1)), "labelled")
+    labelled = scratch.table(labelled.where(F.col("label").isin(0, 1)).withColumn("place", F.xxhash64("text")), "labelled")
     scratch.release()
 
     def words_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,16 +262,18 @@ def learn(labelled: DataFrame) -> dict:
     most = top[0]["z"] if top else 0.0
     tier = lambda keep: np.sort(np.array([r["word"] for r in top if keep(r["z"])], np.int64).view(np.uint64))
     model = {"strong": tier(lambda z: z >= 0.4 * most), "weak": tier(lambda z: z < 0.4 * most)}
-    sample = lambda part: labelled.where(F.col("part") == part).orderBy(F.xxhash64("text"), "label").limit(SAMPLE).select("text", "label")
-
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x = features(batch.column(0), model["strong"], model["weak"])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["label", "place", "x"])
 
     parts = []
     for part in (0, 1):
-        rows = sample(part).mapInArrow(dense, "label int, x array<double>").collect()
+        mine = labelled.where(F.col("part") == part)
+        # The sample is cut by hashes alone and then by features, so that no task sorts texts; equal texts are interchangeable.
+        last = mine.select("place").orderBy("place").limit(SAMPLE).agg(F.max("place")).first()[0]
+        dealt = mine.where(F.col("place") <= last).select("text", "label", "place").mapInArrow(dense, "label int, place long, x array<double>")
+        rows = dealt.orderBy("place", "label").limit(SAMPLE).collect()
         parts.append((np.array([r["x"] for r in rows]).reshape(-1, len(NAMES)), np.array([r["label"] for r in rows], float)))
     (x, y), (x2, y2) = parts
     scratch.drop("labelled")
@@ -280,13 +284,28 @@ def learn(labelled: DataFrame) -> dict:
     return model | {"isotonic": isotonic(margins(model, x2), y2)}
 
 
+def with_labels(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """The inner join of (doc_id, text) and (doc_id, label), where only texts that may have a label are shuffled.
+
+    The filter is a bitmap of hashed ids, FILTER_WORDS long however many labels there are: when it fills up it lets more texts
+    through, and the join, which is exact, drops them.  The join is the same at every size.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_WORDS * 64))
+    word, bit = F.shiftright(place, 6), F.pmod(place, F.lit(64)).cast("int")
+    bitmap = labels.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit"))
+    bitmap = bitmap.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    likely = texts.select("doc_id", "text", word.alias("word"), bit.alias("bit")).join(F.broadcast(bitmap), "word")
+    likely = likely.where(F.getbit("bits", "bit") == 1).select("doc_id", "text")
+    return likely.hint("merge").join(labels, "doc_id")
+
+
 def scored(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
     """doc_id, held_out, score, predicted, for every row of ``docs``; labels whose fold is HELD_OUT are never read."""
     part = fold(F.col("doc_id"), FOLDS)
     mine = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & (part != HELD_OUT))
     mine = mine.groupBy("doc_id").agg(F.max("label").alias("label"))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(part != HELD_OUT)
-    model = learn(texts.join(mine, "doc_id").select("text", "label", (part == 3).cast("int").alias("part")))
+    model = learn(with_labels(texts, mine).select("text", "label", (part == 3).cast("int").alias("part")))
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
 
