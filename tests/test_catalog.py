@@ -4,8 +4,10 @@ import os
 
 import duckdb
 import pytest
+import regex
 
 from tokenloom.plans import catalog
+from tokenloom.sources.formats import CL100K, O200K
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -27,6 +29,18 @@ def test_oracle(spark, duck, name):
     assert got == sorted(tuple(map(str, r)) for r in duck.sql(f"SELECT {cols} FROM ({catalog.ORACLES[name]})").fetchall())
 
 
+@pytest.mark.parametrize(("name", "pattern"), [("split_cl100k_regex", CL100K), ("split_o200k_regex", O200K)])
+def test_patterns_beyond_re2(spark, name, pattern):
+    """Another engine finds the same pieces; what lies between matches is a piece as well."""
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in catalog.QUERIES[name](spark, SF).collect():
+        want, at = [], 0
+        for m in regex.finditer(pattern, text[r["doc_id"]], regex.V1):
+            want += [text[r["doc_id"]][at : m.start()], m.group()]
+            at = m.end()
+        assert r["out"] == catalog.BAR.join(x for x in [*want, text[r["doc_id"]][at:]] if x)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     docs.write.parquet(str(tmp_path / "in"))

@@ -13,6 +13,7 @@ from ..functions.process import finish, process
 from ..functions.split import split
 from ..operators import vocabulary as V
 from ..operators.tokenizer import Tokenizer, parts
+from ..sources.formats import CL100K, O200K
 from ..streaming.encode import token_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +66,7 @@ norm("norm_nmt", "translate(text, chr(10) || chr(9601), '  ')", step("nmt"))
 norm("norm_nfc", "nfc_normalize(text)", step("unicode", form="NFC"))
 norm("norm_nfd", None, step("unicode", form="NFD"))
 norm("norm_nfkc", None, step("unicode", form="NFKC"))
+norm("norm_nfkd", None, step("unicode", form="NFKD"))
 norm("norm_conditional", "CASE WHEN text = '' THEN '' ELSE '_' || text END", step("conditional", position="start", step={"name": "prepend", "args": {"text": "_"}}))
 
 # Splits --------------------------------------------------------------------------------------------------------------------
@@ -97,6 +99,9 @@ cuts("split_chain", pieces_sql("[ ]|[^ t]*t|[^ t]+"), cut("[ ]", "isolate"), cut
 cuts("split_unicode_script", pieces_sql("(?s).+"), step("scripts"))
 GPT2_RE2 = r"''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
 cuts("split_gpt2_regex", pieces_sql(GPT2_RE2), cut(GPT2_RE2.replace("''", "'"), "isolate"))
+# DuckDB has neither look-ahead nor possessive repeats; tests compare these with another regex engine.
+cuts("split_cl100k_regex", None, cut(CL100K, "isolate"))
+cuts("split_o200k_regex", None, cut(O200K, "isolate"))
 
 # Special tokens ------------------------------------------------------------------------------------------------------------
 
@@ -118,6 +123,10 @@ special_parts("special_extract", ["control"], "License", "'1000'")
 special_parts("special_post", True, "License|the |and", "CASE x WHEN 'License' THEN '1000' WHEN 'the ' THEN '1001' ELSE '1002' END")
 special_parts("special_kinds", ["priority"], "and", "'1002'")
 
+def unigram_score(i: int, token: str) -> float:
+    return -8.0 if len(token) == 1 else -9.5 - 0.25 * i
+
+
 # Models --------------------------------------------------------------------------------------------------------------------
 
 BPE = Tokenizer(Definition("bytepair", tuple((i, b.encode()) for i, b in enumerate(VOCAB)), split=(cut("[a-z]+", "match"),)))
@@ -125,7 +134,24 @@ UNK = Special(500, b"[UNK]", "unknown")
 BPE_END = Tokenizer(Definition("bytepair", tuple((i, b.encode()) for i, b in enumerate([*VOCAB, "e</w>", "the</w>"])), specials=(UNK,), fallback=("unknown", "skip"), split=(cut("[a-z]+", "match"),), word_end="</w>"))
 WHOLE = Tokenizer(Definition("bytepair", tuple((i, b.encode()) for i, b in enumerate(["the", "and", "for", "with", "that", "this"])), split=(cut("[a-z]+", "match"),)))
 PIECE = Tokenizer(Definition("wordpiece", tuple((i, b.encode()) for i, b in enumerate(PIECES)), max_word_chars=18, specials=(UNK,), fallback=("unknown", "skip"), split=(cut("[a-z]+", "match"),), word_continuation="##"))
-UNI = Tokenizer(Definition("unigram", tuple((i, b.encode()) for i, b in enumerate(VOCAB)), tuple(-8.0 if len(b) == 1 else -9.5 - 0.25 * i for i, b in enumerate(VOCAB)), split=(cut("[a-z]+", "match"),)))
+UNI = Tokenizer(Definition("unigram", tuple((i, b.encode()) for i, b in enumerate(VOCAB)), tuple(unigram_score(i, b) for i, b in enumerate(VOCAB)), split=(cut("[a-z]+", "match"),)))
+#: Vocabularies with letters missing, for what happens to units without a token.
+GAPS = [x for x in VOCAB if x not in ("k", "w", "g")]
+LATIN = "[a-zà-ÿ]+"
+
+
+def gapped(model: str, fallback: tuple[str, ...], **more) -> Tokenizer:
+    vocab = tuple((i, b.encode()) for i, b in enumerate(GAPS))
+    return Tokenizer(Definition(model, vocab, tuple(unigram_score(i, b) for i, b in enumerate(GAPS)) if model == "unigram" else (), specials=(UNK,), fallback=fallback, split=(cut("[a-z]+", "match"),), **more))
+
+
+def wordpieces(vocab: list[str], most: int) -> Tokenizer:
+    return Tokenizer(Definition("wordpiece", tuple((i, b.encode()) for i, b in enumerate(vocab)), max_word_chars=most, specials=(UNK,), fallback=("unknown", "skip"), split=(cut("[a-z]+", "match"),), word_continuation="##"))
+
+
+BPE_BYTES = Tokenizer(Definition("bytepair", tuple((i, b.encode()) for i, b in enumerate(VOCAB)), chars=False, split=(cut("[a-z]+", "match"),)))
+BYTES_LEFT = Tokenizer(Definition("bytepair", tuple((i, b.encode()) for i, b in enumerate(VOCAB)) + tuple((300 + b, bytes([b])) for b in range(128, 256)), fallback=("bytes", "skip"), split=(cut(LATIN, "match"),)))
+STIFF = [x for x in PIECES if x not in ("##e", "##ing", "t")]
 
 
 def ids_text(ids: Column) -> Column:
@@ -138,16 +164,17 @@ def encodes(name: str, tok: Tokenizer, oracle: str | None) -> None:
         ORACLES[name] = oracle
 
 
-def per_word(solve: str) -> str:
+def per_word(solve: str, pattern: str = "[a-z]+") -> str:
     """solve: CTEs that end in words(word, ids) for ``distinct_words``; reassembles documents."""
     return f"""
-WITH RECURSIVE spots AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]+')) AS word, generate_subscripts(regexp_extract_all(text, '[a-z]+'), 1) AS pos FROM documents),
+WITH RECURSIVE spots AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(text, '{pattern}')) AS word, generate_subscripts(regexp_extract_all(text, '{pattern}'), 1) AS pos FROM documents),
 distinct_words AS MATERIALIZED (SELECT DISTINCT word FROM spots), {solve}
 SELECT d.doc_id, coalesce(array_to_string(flatten(list(w.ids ORDER BY a.pos)), ','), '') AS ids
 FROM documents d LEFT JOIN spots a USING (doc_id) LEFT JOIN words w USING (word) GROUP BY d.doc_id"""
 
 
-def bpe_sql(vocab: list[str], end: str = "") -> str:
+def bpe_sql(vocab: list[str], end: str = "", missing: str = "[]", pattern: str = "[a-z]+") -> str:
+    """missing: the ids, as a list, of a unit u without a token."""
     v = sql_list(vocab)
     units = "string_split(word, '')" if not end else f"list_append(string_split(word, '')[:-2], right(word, 1) || '{end}')"
     return per_word(f"""
@@ -158,14 +185,29 @@ m(word, units, found) AS (
     SELECT word, units, list_position(ranks, list_min(ranks)) AS i, list_min(ranks) AS best FROM (
       SELECT word, units, list_transform(range(1, len(units)), lambda k: list_position({v}, units[k] || units[k + 1])) AS ranks FROM m))
   WHERE best IS NOT NULL),
-words AS (SELECT word, list_filter(list_transform(arg_min(units, len(units)), lambda u: {"coalesce(list_position(" + v + ", u) - 1, 500)" if end else "list_position(" + v + ", u) - 1"}), lambda x: x IS NOT NULL) AS ids FROM m GROUP BY word)""")
+words AS (SELECT word, flatten(list_transform(arg_min(units, len(units)), lambda u: CASE WHEN list_contains({v}, u) THEN [list_position({v}, u) - 1] ELSE {missing} END)) AS ids FROM m GROUP BY word)""", pattern)
 
 
-def piece_sql() -> str:
-    v = sql_list(PIECES)
+def unigram_sql(vocab: list[str]) -> str:
+    """Dynamic programming over ends; the last four costs and paths are all that a token of at most four letters needs."""
+    v = sql_list(vocab)
+    price = f"CASE WHEN list_contains({v}, t) THEN CASE WHEN length(t) = 1 THEN 8.0 ELSE 9.5 + 0.25 * (list_position({v}, t) - 1) END END".replace("t)", "word[e + 2 - n:e + 1])")
+    return per_word(f"""
+g(word, e, costs, paths) AS (
+  SELECT word, 0, [0.0::DOUBLE], [[]::INT[]] FROM distinct_words
+  UNION ALL
+  SELECT word, e + 1, (costs || [coalesce(best, 1000000.0)])[-4:], (paths || [paths[-n] || [coalesce(list_position({v}, word[e + 2 - n:e + 1]) - 1, 500)::INT]])[-4:] FROM (
+    SELECT *, coalesce(list_max(list_filter(range(1, least(4, e + 1) + 1), lambda n: cand[n] = best)), 1) AS n FROM (
+      SELECT *, list_min(cand) AS best FROM (
+        SELECT word, e, costs, paths, list_transform(range(1, least(4, e + 1) + 1), lambda n: (costs[-n] + {price})::DOUBLE) AS cand FROM g WHERE e < length(word))))),
+words AS (SELECT word, paths[-1] AS ids FROM g WHERE e = length(word))""")
+
+
+def piece_sql(vocab: list[str] = PIECES, most: int = 18) -> str:
+    v = sql_list(vocab)
     return per_word(f"""
 g(word, pos, ids) AS (
-  SELECT word, 1, []::INT[] FROM distinct_words WHERE length(word) <= 18
+  SELECT word, 1, []::INT[] FROM distinct_words WHERE length(word) <= {most}
   UNION ALL
   SELECT word, pos + n, list_append(ids, list_position({v}, CASE WHEN pos = 1 THEN '' ELSE '##' END || word[pos:pos + n - 1]) - 1) FROM (
     SELECT word, pos, ids, list_max(list_filter(range(1, length(word) - pos + 2), lambda n: list_contains({v}, CASE WHEN pos = 1 THEN '' ELSE '##' END || word[pos:pos + n - 1]))) AS n FROM g WHERE pos <= length(word))
@@ -175,9 +217,16 @@ words AS (SELECT d.word, coalesce(any_value(g.ids), [500]) AS ids FROM distinct_
 
 encodes("bpe_whole_part", WHOLE, per_word("words AS (SELECT word, CASE WHEN list_contains(['the', 'and', 'for', 'with', 'that', 'this'], word) THEN [list_position(['the', 'and', 'for', 'with', 'that', 'this'], word) - 1] ELSE []::INT[] END AS ids FROM distinct_words)"))
 encodes("bpe_encode_chars", BPE, bpe_sql(VOCAB))
-encodes("bpe_end_of_word", BPE_END, bpe_sql([*VOCAB, "e</w>", "the</w>"], "</w>"))
+encodes("bpe_end_of_word", BPE_END, bpe_sql([*VOCAB, "e</w>", "the</w>"], "</w>", "[500]"))
+encodes("bpe_encode_bytes", BPE_BYTES, bpe_sql(VOCAB))
+encodes("bpe_unk_fallback", gapped("bytepair", ("unknown", "skip")), bpe_sql(GAPS, missing="[500]"))
+encodes("bpe_skip_fallback", gapped("bytepair", ("skip",)), bpe_sql(GAPS))
+encodes("bpe_byte_fallback", BYTES_LEFT, bpe_sql(VOCAB, missing="CASE WHEN unicode(u) >= 128 THEN [492 + unicode(u) // 64, 428 + unicode(u) % 64] ELSE [] END", pattern=LATIN))
 encodes("wordpiece_encode", PIECE, piece_sql())
-encodes("unigram_encode", UNI, None)
+encodes("wordpiece_unk", wordpieces(STIFF, 18), piece_sql(STIFF))
+encodes("wordpiece_maxchars", wordpieces(PIECES, 5), piece_sql(PIECES, 5))
+encodes("unigram_encode", UNI, unigram_sql(VOCAB))
+encodes("unigram_unk", gapped("unigram", ("unknown", "skip")), unigram_sql(GAPS))
 
 # Processing and decoding ---------------------------------------------------------------------------------------------------
 
@@ -266,6 +315,51 @@ QUERIES["vocab_dedup"] = vocab_dedup
 ORACLES["vocab_dedup"] = f"WITH {WORDS_SQL} SELECT token[:3] AS stem, min(token) AS token FROM w GROUP BY 1"
 
 
+def vocab_byte_runes(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the words written as byte tokens; hex of the bytes that each stands for."""
+    w = corpus_words(spark, sf)
+    token = F.when(F.col("id") % 2 == 0, F.concat(F.lit("<0x4"), (F.col("id") % 10).cast("string"), F.lit(">"))).otherwise(F.col("token"))
+    return w.select("token", F.hex(V.decoded_byte(token)).alias("bytes"))
+
+
+QUERIES["vocab_byte_runes"] = vocab_byte_runes
+ORACLES["vocab_byte_runes"] = f"WITH {WORDS_SQL} SELECT token, CASE WHEN length(token) % 2 = 0 THEN '4' || (length(token) % 10) ELSE hex(token) END AS bytes FROM w"
+
+
+def vocab_special_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Letters as vocabulary, first pairs of letters as special tokens with ids from the second letter."""
+    w = corpus_words(spark, sf)
+    vocab = w.select(F.substring("token", 1, 1).alias("token")).distinct().select("token", (F.ascii("token") - 97).cast("long").alias("id"))
+    pairs = w.where(F.length("token") >= 2).select(F.substring("token", 1, 2).alias("token")).distinct()
+    return V.repaired_specials(pairs.select("token", (F.ascii(F.substring("token", 2, 1)) - 84).cast("long").alias("id"), F.col("token").alias("ord")), vocab).select("token", "id")
+
+
+QUERIES["vocab_special_repair"] = vocab_special_repair
+ORACLES["vocab_special_repair"] = f"""WITH {WORDS_SQL}, v AS (SELECT DISTINCT ascii(token) - 97 AS id FROM w), s AS (SELECT DISTINCT token[:2] AS token, ascii(token[2]) - 84 AS id FROM w WHERE length(token) >= 2),
+top AS (SELECT max(id) AS most FROM (FROM v UNION ALL SELECT id FROM s))
+SELECT token, id::BIGINT AS id FROM s WHERE id NOT IN (FROM v) UNION ALL
+SELECT token, (SELECT most FROM top) + row_number() OVER (ORDER BY token) FROM s WHERE id IN (FROM v)"""
+
+
+def vocab_bpe_order(spark: SparkSession, sf: str) -> DataFrame:
+    w = corpus_words(spark, sf).where(F.length("token") == 2).withColumn("id", F.ascii("token") * 256 + F.ascii(F.substring("token", 2, 1)))
+    merges = w.where("n % 2 = 0").select(F.substring("token", 1, 1).alias("left"), F.substring("token", 2, 1).alias("right"), (F.col("n") * 100_000 + F.col("id")).alias("idx"))
+    return V.bpe_order(w.select("token", "id"), merges).select("token", F.col("sort_rank").cast("long").alias("sort_rank"))
+
+
+QUERIES["vocab_bpe_order"] = vocab_bpe_order
+ORACLES["vocab_bpe_order"] = f"WITH {WORDS_SQL} SELECT token, row_number() OVER (ORDER BY n % 2, CASE WHEN n % 2 = 0 THEN n END, token) - 1 AS sort_rank FROM w WHERE length(token) = 2"
+
+
+def vocab_without_specials(spark: SparkSession, sf: str) -> DataFrame:
+    w = corpus_words(spark, sf)
+    return V.without_specials(w.select("token", "n"), w.where("n = 1").select("token"))
+
+
+QUERIES["vocab_without_specials"] = vocab_without_specials
+ORACLES["vocab_without_specials"] = f"WITH {WORDS_SQL} SELECT token, n FROM w WHERE n > 1"
+
+
 def by_lang(spark: SparkSession, sf: str, lang: str) -> DataFrame:
     words = docs(spark, sf).where(F.col("lang") == lang).select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("token")).distinct()
     return words.select(F.length("token").cast("long").alias("id"), "token")
