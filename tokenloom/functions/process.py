@@ -60,3 +60,13 @@ def finish(raw: Column, steps: tuple[Step, ...]) -> Column:
             raise DefinitionError(f"unknown decoding {s.name}")
         text = F.when(text != "", COLUMN[s.name](text, **s.args)).otherwise(text)
     return text.cast("binary")
+
+
+def text_of(ids: Column) -> Column:
+    """Ids as text, with a space after each but the last."""
+    return F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")
+
+
+def ids_of(text: Column) -> Column:
+    """Ids from text that separates them by spaces, commas or line ends; anything that isn't a number fails."""
+    return F.transform(F.filter(F.split(text, "[ ,\n]"), lambda x: x != ""), lambda x: x.cast("long"))

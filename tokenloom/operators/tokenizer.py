@@ -7,7 +7,9 @@ a partial aggregate brings them together and the model runs once for each.
 
 from __future__ import annotations
 
+import json
 import pickle
+from dataclasses import replace
 from functools import lru_cache
 
 import pyarrow as pa
@@ -34,6 +36,12 @@ def _decoder(body: bytes, kinds: frozenset[str]) -> Decoder:
     return Decoder(pickle.loads(body), set(kinds))
 
 
+@lru_cache(maxsize=8)
+def _bytes_of(body: bytes) -> dict[int, bytes]:
+    d = pickle.loads(body)
+    return {s.id: s.bytes for s in d.specials} | dict(d.vocab)
+
+
 def alternation(specials: list[Special]) -> str:
     return "|".join(literal(s.bytes.decode()) for s in specials if s.bytes)
 
@@ -141,7 +149,8 @@ class Tokenizer:
         return vocab, spark.createDataFrame(rows, "id long, bytes binary, kind string, ident string, score float, extract boolean, ord int")
 
     def register(self, spark, name: str = "tokens") -> None:
-        """SQL functions encode_<name>(text) and decode_<name>(ids), without cutting at special tokens."""
+        """SQL functions encode_<name>(text) and decode_<name>(ids), without cutting at special tokens, and the table function
+        pieces_<name>(text), which gives (pos, id, bytes) for each token of a text."""
         body = self._body
 
         def encode(batch: pa.Array) -> pa.Array:
@@ -154,3 +163,29 @@ class Tokenizer:
 
         spark.udf.register(f"encode_{name}", F.arrow_udf(encode, "array<bigint>"))
         spark.udf.register(f"decode_{name}", F.arrow_udf(decode, "binary"))
+
+        class Pieces:
+            def eval(self, text: str):
+                of = _bytes_of(body)
+                for pos, i in enumerate(_encoder(body)(text) if text is not None else ()):
+                    yield pos, i, of.get(i)
+
+        spark.udtf.register(f"pieces_{name}", F.udtf(Pieces, returnType="pos int, id bigint, bytes binary"))
+
+    def save(self, spark, path: str) -> None:
+        """Tables vocab and specials as Parquet, and the rest as a line of JSON, under path."""
+        vocab, specials = self.tables(spark)
+        vocab.coalesce(1).write.mode("overwrite").parquet(f"{path}/vocab")
+        specials.coalesce(1).write.mode("overwrite").parquet(f"{path}/specials")
+        rest = replace(self.definition, vocab=(), scores=(), specials=()).to_json()
+        spark.createDataFrame([(rest,)], "value string").write.mode("overwrite").text(f"{path}/config")
+
+    @classmethod
+    def saved(cls, spark, path: str) -> Tokenizer:
+        """What save wrote, from any store that Spark reads."""
+        body = json.loads(spark.read.text(f"{path}/config").first()["value"])
+        vocab = spark.read.parquet(f"{path}/vocab").orderBy("rank").collect()
+        body["vocab"] = [[r["id"], bytes(r["bytes"]).hex()] for r in vocab]
+        body["scores"] = [r["score"] for r in vocab if r["score"] is not None]
+        body["specials"] = [{k: r[k] for k in ("id", "kind", "ident", "score", "extract")} | {"bytes": bytes(r["bytes"]).hex()} for r in spark.read.parquet(f"{path}/specials").orderBy("ord").collect()]
+        return cls(Definition.from_json(json.dumps(body)))

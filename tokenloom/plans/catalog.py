@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..definition import Definition, Special, Step, step
 from ..functions.normalize import ALL, normalize
-from ..functions.process import finish, process
+from ..functions.process import finish, ids_of, process, text_of
 from ..functions.split import split
 from ..operators import vocabulary as V
 from ..operators.tokenizer import Tokenizer, parts
@@ -242,6 +242,15 @@ def processes(name: str, s: Step, oracle: str) -> None:
     ORACLES[name] = f"SELECT doc_id, coalesce(array_to_string({oracle}, ','), '') AS ids FROM (SELECT doc_id, {LENGTHS} AS a FROM documents)"
 
 
+
+def ids_as_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids written as text with mixed separators, read back and written again."""
+    a = docs(spark, sf).select("doc_id", F.concat_ws(", ", F.transform(lengths(F.col("text")), lambda x: F.concat(x.cast("string"), F.lit("\n")))).alias("t"))
+    return a.select("doc_id", text_of(ids_of(F.col("t"))).alias("ids"))
+
+
+QUERIES["ids_as_text"] = ids_as_text
+ORACLES["ids_as_text"] = f"SELECT doc_id, coalesce(array_to_string({LENGTHS}, ' '), '') AS ids FROM documents"
 processes("proc_strip", step("strip", id=3, left=1, right=1), "CASE WHEN len(a) = 0 THEN a WHEN len(a) = 1 AND a[1] = 3 THEN [] ELSE a[CASE WHEN a[1] = 3 THEN 2 ELSE 1 END:CASE WHEN a[-1] = 3 THEN len(a) - 1 ELSE len(a) END] END")
 processes("proc_collapse", step("collapse", id=2), "list_transform(list_filter(range(1, len(a) + 1), lambda i: i = 1 OR a[i] <> 2 OR a[i - 1] <> 2), lambda i: a[i])")
 processes("proc_pad", step("pad", id=0, length=200, stride=8), "CASE WHEN len(a) = 0 OR len(a) >= 200 THEN a ELSE a || list_transform(range(0, ((200 - len(a) + 7) // 8) * 8), lambda i: 0) END")
