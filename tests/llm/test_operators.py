@@ -219,6 +219,16 @@ def test_toxicity(docs, spark):
     assert len(rows(toxicity.scored(docs, df.select("doc_id", "toxic")))) == len(fixture())
 
 
+@pytest.mark.parametrize("size", [1, 1 << 17])
+def test_toxicity_join_is_exact(docs, spark, monkeypatch, size):
+    """A full filter lets every text through, and the join drops those without a label; repeated ids keep all their texts."""
+    monkeypatch.setattr(toxicity, "FILTER_WORDS", size)
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(0, 400, 3), 9]] + [(None, 1)], "doc_id long, label int").groupBy("doc_id").agg({"label": "max"}).toDF("doc_id", "label")
+    got = toxicity.with_labels(docs.select("doc_id", "text"), labels)
+    assert sorted(map(str, got.collect())) == sorted(map(str, docs.select("doc_id", "text").join(labels, "doc_id").collect()))
+    assert toxicity.with_labels(docs.select("doc_id", "text"), labels.where("false")).collect() == []
+
+
 def test_hidden_markov(docs):
     got = rows(hidden_markov.scored(docs, rounds=2, classes=8))
     assert len(got) == len(fixture())
