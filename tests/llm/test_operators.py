@@ -208,6 +208,18 @@ def test_pieces_against_brute_force(docs):
     assert all(bytes(r["back"]) == bytes(r["decoded"]) == (r["text"] or "").encode() for r in rows(both))
 
 
+def test_pieces_against_library(docs):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    got = rows(pieces.encoded(docs, MODEL))
+    assert len(got) == len(fixture()) and all(r["piece_ids"] == lib.encode(r["text"] or "") for r in got)
+    seg, rng = pieces.segmenter(MODEL), random.Random(4)
+    for _ in range(2000):
+        text = "".join(rng.choice("aeinorst  ABé日😀1.,\n\t▁") for _ in range(rng.randrange(40)))
+        assert seg.encode(text) == lib.encode(text)
+
+
 def test_toxicity(docs, spark):
     rng = random.Random(2)
     make = lambda bad: " ".join(rng.choice(["du", "the", "sun", "rain", "you", "walk", "tree"]) if not bad or rng.random() > 0.2 else rng.choice(["idiot", "M0R0N!", "idi0t"]) for _ in range(40))

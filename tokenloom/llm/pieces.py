@@ -1,10 +1,11 @@
-"""SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi.
+"""SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi or the merges.
 
-At each position the automaton's output links give every piece that ends there, and each relaxes the best score of that end.
-The result is the segmentation with the highest sum of the file's piece scores (ties: the longer last piece).  A character
-without a piece costs UNKNOWN below the lowest score and becomes its byte pieces, or the unknown id without them.  For a file of
-type unigram this is the library's own objective.  For one of type BPE, whose scores are merge ranks, it is the best
-segmentation under those scores and may differ from the merge order's; decoding gives the text back in both cases.
+At each position the automaton's output links give every piece that ends there.  For a file of type unigram each relaxes the
+best score of that end; the result is the segmentation with the highest sum of the file's piece scores (ties: the longer last
+piece).  A character without a piece costs UNKNOWN below the lowest score.  For a file of type BPE, whose scores are merge ranks,
+the pieces found are the merges that are possible: of neighbours that make one, those with the highest score are merged first
+(ties: the leftmost), as in the library.  In both cases a character without a piece becomes its byte pieces, or the unknown id
+without them, and decoding gives the text back.  BPE files with user-defined or unused pieces are refused.
 
 No piece holds the space mark after another character, so words are segmented on their own and remembered in a bounded memory;
 a vocabulary with such pieces is segmented over whole texts.
@@ -15,6 +16,7 @@ Nulls: a null text counts as empty and has no pieces.  The space mark U+2581 in
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.formats import fields
 from .tokens import balanced
 
 SPACE = "▁"
@@ -34,7 +37,7 @@ _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 class Segmenter:
-    def __init__(self, pieces: list[tuple[int, str, float]], byte_ids: dict[int, int], unknown_id: int, prefix: bool = True):
+    def __init__(self, pieces: list[tuple[int, str, float]], byte_ids: dict[int, int], unknown_id: int, prefix: bool = True, merges: bool = False):
         import ahocorasick
 
         self.machine = ahocorasick.Automaton()
@@ -43,9 +46,10 @@ class Segmenter:
         if pieces:
             self.machine.make_automaton()
         self.some = bool(pieces)
-        self.single = {p for _, p, _ in pieces if len(p) == 1}
+        self.single = {p: i for i, p, _ in pieces if len(p) == 1}
         self.cost = min((s for _, _, s in pieces), default=0.0) - UNKNOWN
         self.byte_ids, self.unknown_id, self.prefix = byte_ids, unknown_id, prefix
+        self.segment = self.merged if merges else self.viterbi
         self.by_word = not any(SPACE in p.lstrip(SPACE) for _, p, _ in pieces)
         self.bytes = {i: p.replace(SPACE, " ").encode() for i, p, _ in pieces} | {i: bytes([b]) for b, i in byte_ids.items()}
         self.memory: dict[str, bytes] = {}
@@ -59,7 +63,45 @@ class Segmenter:
         ids = range(m.get_piece_size())
         byte_ids = {int(m.id_to_piece(i)[3:5], 16): i for i in ids if m.is_byte(i)}
         plain = [(i, m.id_to_piece(i), m.get_score(i)) for i in ids if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
-        return cls(plain, byte_ids, m.unk_id())
+        trainer = dict(fields(next((v for n, v in fields(m.serialized_model_proto()) if n == 2), b"")))
+        kinds = {dict(fields(v)).get(3, 1) for n, v in fields(m.serialized_model_proto()) if n == 1}
+        if trainer.get(3, 1) not in (1, 2) or trainer.get(3, 1) == 2 and kinds & {4, 5}:
+            raise ValueError(f"{path}: neither of type unigram nor BPE without user-defined and unused pieces")
+        return cls(plain, byte_ids, m.unk_id(), merges=trainer.get(3, 1) == 2)
+
+    def merged(self, text: str) -> list[int]:
+        n, found = len(text), {}
+        for last, (length, i, score) in self.machine.iter(text) if self.some else ():
+            if length > 1:
+                found[last + 1 - length, last + 1] = (-score, i)
+        # The end of the symbol that starts at a position (0: none starts there), and the start of the one that ends there.
+        end, start = list(range(1, n + 1)), list(range(-1, n))
+        heap = [(found[a, a + 2][0], a, a + 2) for a in range(n - 1) if (a, a + 2) in found]
+        heapq.heapify(heap)
+        while heap:
+            _, a, c = heapq.heappop(heap)
+            b = end[a]
+            if not b or b >= c or end[b] != c:
+                continue
+            end[a], end[b], start[c] = c, 0, a
+            if a and (pair := found.get((start[a], c))):
+                heapq.heappush(heap, (pair[0], start[a], c))
+            if c < n and (pair := found.get((a, end[c]))):
+                heapq.heappush(heap, (pair[0], a, end[c]))
+        out: list[int] = []
+        a = 0
+        while a < n:
+            c = end[a]
+            if c - a > 1:
+                out.append(found[a, c][1])
+            elif (i := self.single.get(text[a])) is not None:
+                out.append(i)
+            elif self.byte_ids:
+                out += [self.byte_ids[b] for b in text[a].encode()]
+            else:
+                out.append(self.unknown_id)
+            a = c
+        return out
 
     def viterbi(self, text: str) -> list[int]:
         n = len(text)
@@ -98,13 +140,13 @@ class Segmenter:
         """The ids as little-endian 32-bit integers."""
         text = self.marked(text)
         if not self.by_word:
-            return np.array(self.viterbi(text), "<i4").tobytes()
+            return np.array(self.segment(text), "<i4").tobytes()
         if self.held > MEMORY_BYTES:
             self.memory.clear()
             self.held = 0
         words = _WORD.findall(text)
         for word in set(words).difference(self.memory):
-            self.memory[word] = np.array(self.viterbi(word), "<i4").tobytes()
+            self.memory[word] = np.array(self.segment(word), "<i4").tobytes()
             self.held += 2 * len(word) + 200
         return b"".join(map(self.memory.__getitem__, words))
 
