@@ -1,6 +1,6 @@
 """From raw documents to training input in five stages; each calls one operator of ``tokenloom.llm`` on all that its predecessor kept.
 
-Ids name rows here: a null id can't be dropped as a near copy.  All stages take empty tables and columns beyond those they read.
+Rows with a repeated or null id are rows of their own in every dedup stage.  All stages take empty tables and columns beyond those they read.
 """
 
 from __future__ import annotations

@@ -154,6 +154,20 @@ def test_near_copies_split_blocks(spark, monkeypatch):
     assert [got[i] for i in range(len(sets))] == label
 
 
+def test_near_copies_with_repeated_and_null_ids(spark):
+    text = lambda x, last="end": " ".join([*(f"{x}{i}" for i in range(60)), last])
+    given = [(5, text("a")), (5, text("b")), (3, text("b", "other")), (9, text("a", "other")), (7, text("d")), (7, text("d", "other"))]
+    given += [(None, text("c", f"c{i}")) for i in range(4)] + [(None, text("e")), (8, text("e", "other")), (None, ""), (None, None), (4, text("f"))]
+    df = spark.createDataFrame([(*r, 1) for r in given], "doc_id long, text string, kept int")
+    out = ngram_join.drop_near_copies(df)
+    assert out.columns == df.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert collections.Counter(t[0] if t else t for _, t in got) == collections.Counter(["a", "b", "c", "d", "e", "f", "", None])
+    assert set(got) <= set(given) and {(5, text("a")), (3, text("b", "other")), (8, text("e", "other")), (4, text("f"))} <= set(got)
+    again = ngram_join.drop_near_copies(df.repartition(5)).collect()
+    assert sorted(map(str, got)) == sorted(str((r["doc_id"], r["text"])) for r in again)
+
+
 def test_quality(docs):
     got = rows(quality_rules.judged(docs, columns=["doc_id", "text"]))
     assert len(got) == len(fixture())

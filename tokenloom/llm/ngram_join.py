@@ -21,6 +21,7 @@ rows of their own.  An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
@@ -264,7 +265,15 @@ def joined(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int =
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 5, threshold: str | float | Fraction = "0.8") -> DataFrame:
-    """Of each component the document with the smallest id stays; rows without an id stay, as nothing can name them."""
-    gone = joined(docs, text, doc_id, k, threshold).where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
-    gone = Scratch(docs.sparkSession, "near-copies").table(gone, "gone")
-    return docs.join(gone, F.col(doc_id) == F.col("gone"), "left_anti")
+    """Of each component one row stays: the smallest id (null last), then the least SHA-256 of a text; rows without shingles stay.
+
+    Rows are numbered, so neither repeated nor null ids decide about other rows.
+    """
+    scratch = Scratch(docs.sparkSession, "near-copies")
+    row = f"row_{uuid.uuid4().hex}"
+    numbered = scratch.table(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    group = joined(numbered, text, row, k, threshold).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    rank = numbered.select(F.col(row).alias("row"), F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.sha2(text, 256), F.col(row)).alias("rank"))
+    kept = group.join(rank, "row").groupBy("component").agg(F.min_by("row", "rank").alias(row)).select(row)
+    kept = scratch.table(kept, "kept")
+    return numbered.join(kept, row, "left_semi").drop(row)
