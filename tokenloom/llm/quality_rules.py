@@ -1,14 +1,16 @@
 r"""Quality rules by weak supervision, in DataFrame functions only.
 
-Every rule votes good (+1), bad (-1) or abstains (0).  Documents are counted by their pattern of votes, at most
-3 ** len(RULES) rows whatever the input's size, and expectation-maximisation over that table estimates the share of
-good documents and each rule's accuracies, apart for good and for bad documents.  A document's verdict is its posterior probability of being good.  Documents that fail the base rule have their verdict and aren't counted.
+Every rule votes good (+1), bad (-1) or abstains (0).  Documents are counted by their pattern of votes, at most 3 ** 8 = 6,561 rows
+whatever the input's size, and expectation-maximisation over that table, which the driver holds, estimates the share of good
+documents and each rule's accuracies, apart for good and for bad documents.  A document's verdict is its posterior probability of
+being good.  Documents that fail the base rule have their verdict and aren't counted.
 
 Repeated 3-word windows are found in the row itself: the windows are sorted with their positions and each is compared
 with its neighbours, O(n log n) in the document's words and without a shuffle.
 
 Nulls: a null text counts as empty and fails the base rule.  Every input row gives one output row, repeated ids included;
-an empty table gives an empty result.
+an empty table gives an empty result.  Texts are counted whole, however long; columns that are carried may have any name, since
+they travel in a struct.
 """
 
 from __future__ import annotations
@@ -21,9 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, text_or_empty, without_spaces, words
 
-ROUNDS = 12
-FALSE_ALARM = 0.01
-LEAST_RECALL = 0.1
+#: Rounds end before this when the likelihood stays the same.
+ROUNDS = 500
 KEEP_AT = 0.5
 
 
@@ -83,40 +84,38 @@ def rules() -> dict[str, Column]:
     }
 
 
-def fit(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> dict:
-    """Expectation-maximisation for the share of good documents and how often each rule, when it votes, votes bad on either class.
+def fit(patterns: dict[tuple[int, ...], int], names: list[str], rounds: int = ROUNDS) -> dict:
+    """Expectation-maximisation over (pattern of votes: documents): the share of good documents, and how often each rule, when it votes,
+    votes bad on good and on bad documents.
 
-    Each round is one aggregate over the pattern table and returns one row.  The start takes any bad vote as the sign of a bad
-    document.  An abstention is no evidence.  Bounds keep the classes apart: a rule votes bad on at most FALSE_ALARM of the
-    good documents that it votes on, and on more of the bad ones.
+    The start takes any bad vote as the sign of a bad document.  An abstention is no evidence.  Each estimate has one vote of prior,
+    half for each side, which keeps it within (0, 1); nothing else bounds it.  Rounds end when the likelihood stays the same.
     """
-    model: dict = {}
-    any_bad = reduce(lambda a, b: a | b, [F.col(x) == -1 for x in names])
-    for _ in range(rounds):
-        p = posterior(model, {x: F.col(x) for x in names}) if model else F.when(any_bad, 0.05).otherwise(0.97)
-        sums = [F.sum("n").alias("all"), F.sum(F.col("n") * p).alias("good")]
-        for x in names:
-            for v in (-1, 1):
-                of = F.when(F.col(x) == v, F.col("n")).otherwise(0)
-                sums += [F.sum(of).alias(f"{x}_{v}"), F.sum(of * p).alias(f"{x}_{v}_good")]
-        row = patterns.agg(*sums).first()
-        if not row["all"]:
-            break
-        model = {"good": min(0.99, max(0.5, row["good"] / row["all"])), "bad_votes": {}}
-        for x in names:
-            down, up = row[f"{x}_-1"], row[f"{x}_1"]
-            down_good, up_good = row[f"{x}_-1_good"], row[f"{x}_1_good"]
-            on_good = (down_good + 0.01) / (down_good + up_good + 2)
-            on_bad = (down - down_good + 1) / (down + up - down_good - up_good + 2)
-            on_good = min(FALSE_ALARM, max(1e-4, on_good))
-            model["bad_votes"][x] = {"good": on_good, "bad": min(0.95, max(LEAST_RECALL, on_bad))}
-    return model or {"good": 0.5, "bad_votes": {x: {"good": FALSE_ALARM, "bad": 0.5} for x in names}}
+    rows, n = list(patterns), [patterns[r] for r in patterns]
+    good = [0.05 if -1 in r else 0.97 for r in rows]
+    model = {"good": 0.5, "votes": {x: {"good": 0.01, "bad": 0.5} for x in names}, "rounds": 0, "converged": not rows}
+    before = None
+    while rows and model["rounds"] < rounds and not model["converged"]:
+        share = {"good": [a * p for a, p in zip(n, good, strict=True)], "bad": [a * (1 - p) for a, p in zip(n, good, strict=True)]}
+        rates: dict[str, dict[str, float]] = {}
+        for j, x in enumerate(names):
+            tally = {side: [sum(a for a, r in zip(own, rows, strict=True) if r[j] == v) for v in (-1, 1)] for side, own in share.items()}
+            rates[x] = {side: (down + 0.5) / (down + up + 1) for side, (down, up) in tally.items()}
+        model |= {"good": (sum(share["good"]) + 1) / (sum(n) + 2), "votes": rates, "rounds": model["rounds"] + 1}
+        total = 0.0
+        for i, r in enumerate(rows):
+            a, b = (math.log(s) + sum(math.log(rates[x][side] if v < 0 else 1 - rates[x][side]) for x, v in zip(names, r, strict=True) if v) for side, s in (("good", model["good"]), ("bad", 1 - model["good"])))
+            good[i] = 1 / (1 + math.exp(min(700.0, b - a)))
+            total += n[i] * (max(a, b) + math.log1p(math.exp(-abs(a - b))))
+        model["converged"] = before is not None and abs(total - before) <= 1e-9 * abs(total)
+        before = total
+    return model
 
 
 def posterior(model: dict, votes: dict[str, Column]) -> Column:
     terms = []
     for x, v in votes.items():
-        good, bad = model["bad_votes"][x]["good"], model["bad_votes"][x]["bad"]
+        good, bad = model["votes"][x]["good"], model["votes"][x]["bad"]
         terms.append(F.when(v == -1, math.log(good / bad)).when(v == 1, math.log((1 - good) / (1 - bad))).otherwise(0.0))
     return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, terms, F.lit(math.log(model["good"] / (1 - model["good"]))))))
 
@@ -132,8 +131,9 @@ def judged(docs: DataFrame, text: str = "text", columns: list[str] | None = None
     slim = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).alias("row"), F.col(text).alias("text"))
     counted = scratch.table(counts(slim).select("row", "q"), "counted")
     failed = (F.col("q.n_words") < 50) | (100 * F.col("q.n_repeat_words") > 50 * F.col("q.n_words"))
-    patterns = scratch.table(counted.where(~failed).select(*[c.alias(x) for x, c in rules().items()]).groupBy(*names).agg(F.count("*").alias("n")), "patterns")
-    model = fit(patterns, names, rounds)
+    # At most 3 ** len(names) rows, whatever the input.
+    patterns = counted.where(~failed).select(*[c.alias(x) for x, c in rules().items()]).groupBy(*names).agg(F.count("*").alias("n"))
+    model = fit({tuple(r[:-1]): r[-1] for r in patterns.collect()}, names, rounds)
     return (
         counted.withColumn("base_failed", failed)
         .withColumn("quality", posterior(model, rules()))
