@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import re
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed: the white space every contract here names, [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 
 
+_own: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset (tests, a laptop) a folder of our own."""
+    """spark.checkpoint.dir, or the folder set with setCheckpointDir.  Only a session in one process (tests, a laptop) gets a folder
+    of our own where both are unset: executors elsewhere couldn't read it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        folder = "file://" + tempfile.mkdtemp(prefix="tokenloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder
+    if folder:
+        return folder
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="tokenloom-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return f"file://{_own[0]}"
 
 
 class Scratch:
@@ -68,6 +78,21 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
+def before_each(df: DataFrame, order: list[Column], values: dict[str, Column], scratch: Scratch, name: str) -> DataFrame:
+    """df with the sums of ``values`` over all rows before each in ``order``, which must be total.
+
+    Rows are sorted in range partitions; what crosses them is one row of totals for each partition.
+    """
+    placed = df.repartitionByRange(*order).withColumn("range_part", F.spark_partition_id())
+    placed = scratch.table(placed.select("*", *[v.cast("long").alias(f"range_{k}") for k, v in values.items()]), name)
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("range_part").agg(*[F.sum(f"range_{k}").alias(f"range_{k}") for k in values])
+    offsets = sums.select(F.col("range_part"), *[F.coalesce(F.sum(f"range_{k}").over(ahead(Window.orderBy("range_part"))), F.lit(0)).alias(f"range_before_{k}") for k in values])
+    inner = ahead(Window.partitionBy("range_part").orderBy(*order))
+    both = placed.join(F.broadcast(offsets), "range_part")
+    return both.select(*df.columns, *[(F.col(f"range_before_{k}") + F.coalesce(F.sum(f"range_{k}").over(inner), F.lit(0))).alias(k) for k in values])
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, mod modulus; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
