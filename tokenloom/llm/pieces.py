@@ -1,16 +1,22 @@
-"""SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi or the merges.
+"""SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi.
 
 At each position the automaton's output links give every piece that ends there.  For a file of type unigram each relaxes the
 best score of that end; the result is the segmentation with the highest sum of the file's piece scores (ties: the longer last
-piece).  A character without a piece costs UNKNOWN below the lowest score.  For a file of type BPE, whose scores are merge ranks,
-the pieces found are the merges that are possible: of neighbours that make one, those with the highest score are merged first
-(ties: the leftmost), as in the library.  In both cases a character without a piece becomes its byte pieces, or the unknown id
-without them, and decoding gives the text back.  BPE files with user-defined or unused pieces are refused.
+piece).  A character without a piece costs UNKNOWN below the lowest score.
 
-No piece holds the space mark after another character, so words are segmented on their own and remembered in a bounded memory;
-a vocabulary with such pieces is segmented over whole texts.
+For a file of type BPE scores are merge ranks, and their sum means nothing.  What is relaxed there is the last piece of the prefix
+that ends at a position: of the pieces that end there, the one whose junction with the last piece of the prefix before it is
+stable, that is, merging the two pieces' characters by rank gives these two pieces again.  A merge across a junction depends on
+its two pieces alone, and a prefix that ends at a junction is merged as in the whole text; so exactly one piece fits at each
+position, and the result is the library's.  Junctions are judged once and remembered.
 
-Nulls: a null text counts as empty and has no pieces.  The space mark U+2581 in a text decodes to a space.
+In both cases a character without a piece becomes its byte pieces, or the unknown id without them, and decoding gives the text
+back.  BPE files with user-defined or unused pieces are refused.  No piece holds the space mark after another character, so words
+are segmented on their own and remembered in a bounded memory; a vocabulary with such pieces is segmented over whole texts.
+
+Nulls: a null text counts as empty and has no pieces.  Texts of any length are segmented whole, repeated rows and ids each for
+themselves; an empty table gives an empty result.  Columns that are carried may have any name.  The space mark U+2581 in a text
+decodes to a space.
 """
 
 from __future__ import annotations
@@ -33,6 +39,7 @@ from .tokens import balanced
 SPACE = "▁"
 UNKNOWN = 10.0
 MEMORY_BYTES = 96 << 20
+MEMORY_JUNCTIONS = 1_000_000
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -49,7 +56,9 @@ class Segmenter:
         self.single = {p: i for i, p, _ in pieces if len(p) == 1}
         self.cost = min((s for _, _, s in pieces), default=0.0) - UNKNOWN
         self.byte_ids, self.unknown_id, self.prefix = byte_ids, unknown_id, prefix
-        self.segment = self.merged if merges else self.viterbi
+        self.text = {i: p for i, p, _ in pieces}
+        self.junctions: dict[tuple[int, int], bool] = {}
+        self.segment = self.stable if merges else self.viterbi
         self.by_word = not any(SPACE in p.lstrip(SPACE) for _, p, _ in pieces)
         self.bytes = {i: p.replace(SPACE, " ").encode() for i, p, _ in pieces} | {i: bytes([b]) for b, i in byte_ids.items()}
         self.memory: dict[str, bytes] = {}
@@ -69,7 +78,38 @@ class Segmenter:
             raise ValueError(f"{path}: neither of type unigram nor BPE without user-defined and unused pieces")
         return cls(plain, byte_ids, m.unk_id(), merges=trainer.get(3, 1) == 2)
 
+    def junction(self, left: int, right: int) -> bool:
+        """Whether the pieces stay side by side under merging; left is -1 where no piece is before."""
+        if len(self.junctions) >= MEMORY_JUNCTIONS:
+            self.junctions.clear()
+        both = [left, right] if left >= 0 else [right]
+        fits = self.junctions[left, right] = self.merged("".join(self.text[i] for i in both)) == both
+        return fits
+
+    def stable(self, text: str) -> list[int]:
+        n, known = len(text), self.junctions
+        # The last piece of each prefix, and where it starts; a character without a piece is a piece of its own, -1.
+        last, start = [-1] * (n + 1), list(range(-1, n))
+        for end, (length, i, _) in self.machine.iter(text) if self.some else ():
+            end += 1
+            if last[end] < 0:
+                left = last[end - length]
+                fits = known.get((left, i))
+                if fits or fits is None and self.junction(left, i):
+                    last[end], start[end] = i, end - length
+        out: list[int] = []
+        while n:
+            if last[n] >= 0:
+                out.append(last[n])
+            elif self.byte_ids:
+                out += [self.byte_ids[b] for b in reversed(text[n - 1].encode())]
+            else:
+                out.append(self.unknown_id)
+            n = start[n]
+        return out[::-1]
+
     def merged(self, text: str) -> list[int]:
+        """The plain way, for junctions: of neighbours that make a piece the highest score is merged first, the leftmost of equals."""
         n, found = len(text), {}
         for last, (length, i, score) in self.machine.iter(text) if self.some else ():
             if length > 1:
