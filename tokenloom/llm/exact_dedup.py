@@ -1,14 +1,19 @@
 """Exact dedup by content sort, in DataFrame functions only.
 
-Splitters sampled by Spark range-partition the rows on (first characters of the normalised text, SHA-256, shard);
-the sort puts equal texts next to each other and each row is compared in full with its neighbour.  The splitters
-hold a short head and the digest instead of whole texts, so the driver's sample stays small.
+Splitters sampled by Spark range-partition the rows on the head of the normalised text, its first HEAD_CHARS characters; within a
+partition an external sort by whole normalised texts puts equal ones next to each other and each row is compared in full with its
+neighbour.  The driver's sample holds heads, so it doesn't grow with the length of texts.
 
-A text with more than ``hot`` rows is dealt over ceil(rows / hot) shards.  Each shard elects its survivor, then the
-survivors of one text (one row for each shard) are compared, again in full.  No row is dropped.
+A head with more than ``hot`` rows (templates, copies) is dealt over ceil(rows / hot) shards by the text's SHA-256, which keeps equal
+texts together; a text with more than ``hot`` rows is dealt on by id.  Each shard elects its survivor, then the survivors of one
+text (one row for each shard) are compared, again in full.  No row is dropped.
 
-Nulls: a null text counts as empty; a null id sorts last, so it survives only among null ids.  Repeated rows form
-groups like any other copies and exactly one of them is kept.  Empty tables give an empty result.
+Before the exchange only heads are made, from the first LOOK characters where these hold enough; texts are normalised and hashed
+once, after it.
+
+Nulls: a null text counts as empty; a null id sorts last, so it survives only among null ids.  Repeated rows form groups like any
+other copies and exactly one of them is kept.  Texts of any length are compared whole.  Columns that are carried may have any
+name.  Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -18,35 +23,48 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, text_or_empty, without_spaces
 
-HOT = 2000
-HEAD_CHARS = 24
+HOT = 500
+HEAD_CHARS, LOOK = 64, 512
+
+
+def head_of(raw: Column) -> Column:
+    """The first HEAD_CHARS characters of the normalised text; the whole text is normalised only where LOOK characters hold fewer."""
+    start = without_spaces(F.substring(raw, 1, LOOK))
+    enough = (F.char_length(start) >= HEAD_CHARS) | (F.char_length(raw) <= LOOK)
+    return F.when(enough, F.substring(start, 1, HEAD_CHARS)).otherwise(F.substring(without_spaces(raw), 1, HEAD_CHARS))
 
 
-def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int = HOT, carry: dict[str, Column] | None = None) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, and what ``carry`` names."""
-    carry = carry or {}
+def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int = HOT, whole: bool = False) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, and with ``whole`` the row itself as c0, c1 ..."""
+    columns = docs.columns if whole else list(dict.fromkeys([doc_id, text]))
     scratch = Scratch(docs.sparkSession, "exact-dedup")
-    raw = text_or_empty(text)
-    base = docs.select(F.col(doc_id).alias("doc_id"), without_spaces(raw).alias("norm"), F.char_length(raw).alias("chars"), *[c.alias(k) for k, c in carry.items()])
-    base = base.withColumn("sha", F.sha2("norm", 256))
-    counts = docs.select(F.sha2(without_spaces(raw), 256).alias("sha")).groupBy("sha").agg(F.count("*").alias("copies"))
-    heavy = scratch.table(counts.where(F.col("copies") > hot), "heavy")
-
-    shards = F.ceil(F.col("copies") / hot)
-    keyed = (
-        base.join(heavy, "sha", "left")
-        .withColumn("shard", F.when(F.col("copies").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id", "chars"), shards)).cast("int"))
-        .withColumn("head", F.substring("norm", 1, HEAD_CHARS))
-        .withColumn("split", F.col("copies").isNotNull())
-        .drop("copies")
-    )
-    key = ["head", "sha", "shard"]
+    own_id, own_text = (F.col(f"row.c{columns.index(x)}") for x in (doc_id, text))
+    raw, norm = text_or_empty(own_text), without_spaces(text_or_empty(own_text))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).alias("row"))
+    rows = rows.withColumn("head", head_of(raw))
+    # At most rows / hot heads, and as many texts.
+    hot_heads = rows.groupBy("head").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("head", F.ceil(F.col("n") / hot).alias("deals"))
+    hot_heads = scratch.table(hot_heads, "heads")
+    split = bool(hot_heads.take(1))
+    if split:
+        inside = rows.join(hot_heads, "head").select(F.sha2(norm, 256).alias("sha")).groupBy("sha").agg(F.count("*").alias("n"))
+        hot_texts = scratch.table(inside.where(F.col("n") > hot).select(F.col("sha").alias("key"), F.ceil(F.col("n") / hot).alias("parts")), "texts")
+        rows = rows.join(hot_heads, "head", "left").withColumn("key", F.when(F.col("deals").isNull(), F.col("head")).otherwise(F.sha2(norm, 256)))
+        rows = rows.join(hot_texts, "key", "left")
+        deal = F.coalesce(F.pmod(F.xxhash64("key"), F.col("deals")), F.lit(0))
+        part = F.coalesce(F.pmod(F.xxhash64(own_id, F.char_length(raw)), F.col("parts")), F.lit(0))
+        rows = rows.select("row", "head", deal.alias("deal"), part.alias("part"), F.col("parts").isNotNull().alias("split"))
+    else:
+        rows = rows.select("row", "head", F.lit(0).cast("long").alias("deal"), F.lit(0).cast("long").alias("part"), F.lit(False).alias("split"))
+
+    key = ["head", "deal", "part"]
+    carried = ["row"] if whole else []
+    placed = rows.repartitionByRange(*key).select(*key, "split", *carried, own_id.alias("doc_id"), F.char_length(raw).alias("chars"), norm.alias("norm"), F.sha2(norm, 256).alias("sha"))
     order = [F.col("chars").desc(), F.col("doc_id").asc_nulls_last()]
     near = Window.partitionBy(*key).orderBy("norm", *order)
     starts = F.when(F.lag("norm").over(near) == F.col("norm"), 0).otherwise(1)
     runs = (
-        keyed.repartitionByRange(*key)
-        .withColumn("first", starts)
+        placed.withColumn("first", starts)
         .withColumn("run", F.sum("first").over(near))
         .withColumn("norm", F.when(F.col("split") & (F.col("first") == 1), F.col("norm")))
     )
@@ -56,31 +74,31 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ho
         .withColumn("group_size", F.count("*").over(of_run))
         .withColumn("kept", F.col("first") == 1)
     )
-    out = ["doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"), *carry]
-    if not heavy.take(1):
+    out = ["doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"), *(["row.*"] if whole else [])]
+    if not split:
         return local.select(*out)
     local = scratch.table(local.drop("head", "first"), "local")
     winners = local.where(F.col("split") & F.col("kept"))
+    shard = ["sha", "deal", "part", "run"]
     of_text = Window.partitionBy("sha", "norm")
-    best = of_text.orderBy(*order, "shard", "run")
+    best = of_text.orderBy(*order, *shard[1:])
     elected = winners.select(
-        "sha", "shard", "run",
+        *shard,
         F.first("doc_id").over(best).alias("keep_all"),
         F.sum("group_size").over(of_text).alias("size_all"),
         (F.row_number().over(best) == 1).alias("best"),
     )
     merged = (
-        local.where("split").drop("keep_id", "group_size").join(elected, ["sha", "shard", "run"])
-        .select("doc_id", F.col("keep_all").alias("keep_id"), F.col("size_all").alias("group_size"), (F.col("kept") & F.col("best")).alias("kept"), F.col("sha").alias("text_sha256"), *carry)
+        local.where("split").drop("keep_id", "group_size").join(elected, shard)
+        .withColumnsRenamed({"keep_all": "keep_id", "size_all": "group_size"}).withColumn("kept", F.col("kept") & F.col("best"))
     )
-    return local.where(~F.col("split")).select(*out).unionByName(merged)
+    return local.where(~F.col("split")).select(*out).unionByName(merged.select(*out))
 
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int = HOT) -> DataFrame:
     """The rows that stay, with the columns of ``docs``."""
-    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    kept = exact_groups(docs, text, doc_id, hot, {"row": row}).where("kept")
-    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    kept = exact_groups(docs, text, doc_id, hot, whole=True).where("kept")
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 SQL = r"""
