@@ -1,11 +1,15 @@
 """Token counts and token-id files.
 
-Counts and ids come from the library that belongs to the vocabulary file.  Long texts are cut at boundaries that its
-pre-tokenizer can't cross (before a white-space run or before the single space that joins a word), and the library's result for
-each piece is kept in a bounded memory of the worker, since most pieces recur.  Texts for which such cuts aren't proven safe
-(rare white space, control characters, strings of added tokens, other pre-tokenizers) go to the library whole.
-
-Nulls: a null text counts as empty and has 0 tokens.  Every input row gives one row; a null id is kept and sorts first.
+Counts and ids come from the library that belongs to the vocabulary file, for batches of about BATCH_BYTES of UTF-8.  Texts are cut
+at boundaries that its pre-tokenizer can't cross (before a white-space run or before the single space that joins a word), and the
+library's result for each piece is kept in a bounded memory of the worker, since most pieces recur.  Where rare white space,
+control characters or strings of added tokens make these cuts unproven, a text is first cut about every CUT_CHARS characters
+between a letter or digit and a space that a letter follows, which is a boundary whatever else the text holds, and only the parts
+with such characters go to the library as they are.  With other pre-tokenizers, normalizers, or added tokens that take spaces, texts
+go to the library whole.
+
+Nulls: a null text counts as empty and has 0 tokens.  Every input row gives one row, repeated ones too; ids may be of any type, and a
+null id is kept and sorts first.  Other columns are not read, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,12 +25,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.formats import byte_alphabet
 from .common import Scratch
 
 BATCH_BYTES = 1 << 20
+CUT_CHARS = 1 << 12
 MEMORY_BYTES = 192 << 20
 #: A run of common letters ends before white space and before ASCII punctuation other than an apostrophe; other pieces run to the
 #: next white space.
@@ -37,18 +44,15 @@ _WORD = re.compile(_LETTERS)
 _ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 
 
-def byte_alphabet() -> dict[int, int]:
-    """The printable character that stands for each byte: itself where Latin-1 prints it, else the next free one from 256 on."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b != 173]
-    rest = [b for b in range(256) if b not in shown]
-    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
+#: A letter or digit before a space and a letter: the space starts a token of its own in byte-level pre-tokenizing.
+_SAFE = re.compile("(?<=[A-Za-z0-9])(?= [A-Za-z])")
 
 
 class Library:
     """Ids of whole texts by the library for a vocabulary file: .json or .model."""
 
     def __init__(self, path: str):
-        self.pieces = False
+        self.pieces = self.cuttable = False
         self.added: list[str] = []
         if path.endswith(".json"):
             import os
@@ -68,7 +72,8 @@ class Library:
             self.size = tok.get_vocab_size()
             # The pre-tokenizer leaves a run of letters whole, so the library's model can take it without the steps before.
             split = tok.model.tokenize
-            alphabet = byte_alphabet()
+            alphabet = {b: c for c, b in byte_alphabet().items()}
+            self.cuttable = self.pieces and not any(x.get("lstrip") or x.get("rstrip") or " " in x["content"] for x in spec.get("added_tokens") or [])
             self.word = lambda piece: [t.id for t in split(piece.encode().decode("latin-1").translate(alphabet))]
         elif path.endswith(".model"):
             import sentencepiece
@@ -87,6 +92,20 @@ class Library:
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as bytes of self.type."""
+        parts = [self.parts(t) if self.cuttable and len(t) > CUT_CHARS and self._whole(t) else [t] for t in texts]
+        done = iter(self._packed([x for p in parts for x in p]))
+        return [b"".join(next(done) for _ in p) for p in parts]
+
+    def parts(self, text: str) -> list[str]:
+        out, at = [], 0
+        while at < len(text):
+            cut = _SAFE.search(text, at + CUT_CHARS)
+            end = cut.start() if cut else len(text)
+            out.append(text[at:end])
+            at = end
+        return out
+
+    def _packed(self, texts: list[str]) -> list[bytes]:
         out: list = [b""] * len(texts)
         direct, cut, wanted = [], [], set()
         for i, text in enumerate(texts):
@@ -130,16 +149,14 @@ def library(path: str) -> Library:
 
 
 def balanced(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, list[str]]]:
-    """Successive rows, as (index of the first, texts), with about ``limit`` characters together; nulls are empty."""
-    texts, first, size = [], 0, 0
-    for i, text in enumerate(column.to_pylist()):
-        texts.append(text or "")
-        size += len(texts[-1])
-        if size >= limit:
-            yield first, texts
-            texts, first, size = [], i + 1, 0
-    if texts:
-        yield first, texts
+    """Successive rows, as (index of the first, texts), with about ``limit`` bytes of UTF-8 together; nulls are empty."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        stop = max(first + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield first, [x or "" for x in column.slice(first, stop - first).to_pylist()]
+        first = stop
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", limit: int = 1024) -> DataFrame:
@@ -160,9 +177,9 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
 
 # Token-id files ------------------------------------------------------------------------------------------------------------
 
-#: Chunk layout, little-endian: MAGIC, counts (documents, ids, ids in a block, planes, bytes of the compressed document table),
-#: the document table (ids, null marks, lengths), the compressed length of each plane of each block, the planes.
-MAGIC = b"TLPLANE1"
+#: Chunk layout, little-endian: MAGIC, counts (documents, ids, ids in a block, planes, bytes of the compressed lengths), the lengths of
+#: documents, the compressed length of each plane of each block, the planes.  Document ids are a column beside the chunk, of their type.
+MAGIC = b"TLPLANE2"
 _HEAD = struct.Struct("<QQQQQ")
 BLOCK = 1 << 16
 CHUNK_IDS = 1 << 20
@@ -180,18 +197,18 @@ def unplanes(rows: np.ndarray, n: int, bits: bool) -> np.ndarray:
     return np.ascontiguousarray(rows.T).reshape(-1).view("<u4")
 
 
-def pack_chunk(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], bits: bool = False, block: int = BLOCK) -> bytes:
+def pack_chunk(ids: np.ndarray, lengths: list[int], bits: bool = False, block: int = BLOCK) -> bytes:
     import zstandard
 
     press = zstandard.ZstdCompressor(level=3).compress
     parts = [press(plane.tobytes()) for at in range(0, len(ids), block) for plane in planes(ids[at : at + block], bits)]
-    table = press(np.array([x or 0 for x in doc_ids], "<i8").tobytes() + np.array([x is None for x in doc_ids], np.uint8).tobytes() + np.array(lengths, "<u8").tobytes())
-    head = _HEAD.pack(len(doc_ids), len(ids), block, 32 if bits else 4, len(table))
+    table = press(np.array(lengths, "<u8").tobytes())
+    head = _HEAD.pack(len(lengths), len(ids), block, 32 if bits else 4, len(table))
     return b"".join([MAGIC, head, table, np.array([len(x) for x in parts], "<u4").tobytes(), *parts])
 
 
-def unpack_chunk(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray]:
-    """ids, doc_ids, lengths."""
+def unpack_chunk(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """ids, lengths."""
     import zstandard
 
     if data[: len(MAGIC)] != MAGIC:
@@ -199,11 +216,8 @@ def unpack_chunk(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray]
     open_ = zstandard.ZstdDecompressor().decompress
     n_docs, n_ids, block, n_planes, table_size = _HEAD.unpack_from(data, len(MAGIC))
     at = len(MAGIC) + _HEAD.size
-    table = open_(data[at : at + table_size])
+    lengths = np.frombuffer(open_(data[at : at + table_size]), "<u8", n_docs).astype(np.int64)
     at += table_size
-    nulls = np.frombuffer(table, np.uint8, n_docs, 8 * n_docs)
-    doc_ids = [None if gone else int(x) for x, gone in zip(np.frombuffer(table, "<i8", n_docs), nulls, strict=True)]
-    lengths = np.frombuffer(table, "<u8", n_docs, 9 * n_docs).astype(np.int64)
     sizes = np.frombuffer(data, "<u4", -(-n_ids // block) * n_planes, at)
     at += sizes.nbytes
     out = []
@@ -213,7 +227,7 @@ def unpack_chunk(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray]
             rows.append(np.frombuffer(open_(data[at : at + size]), np.uint8))
             at += int(size)
         out.append(unplanes(np.stack(rows), min(block, n_ids - b // n_planes * block), n_planes == 32))
-    return (np.concatenate(out) if out else np.zeros(0, "<u4")), doc_ids, lengths
+    return (np.concatenate(out) if out else np.zeros(0, "<u4")), lengths
 
 
 def write_ids(docs: DataFrame, path: str, vocabulary: str, text: str = "text", doc_id: str = "doc_id", end_id: int = 0, bits: bool = False) -> None:
@@ -228,15 +242,15 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, text: str = "text", d
 
         lib, shard, chunk, start = library(vocabulary), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], "<u4")
-        ids, doc_ids, lengths, held = [], [], [], 0
+        ids, doc_ids, lengths, held, key_type = [], [], [], 0, []
 
         def flush() -> pa.RecordBatch:
-            data = pack_chunk(np.concatenate(ids), doc_ids, lengths, bits)
-            values = [shard, chunk, start, held, len(doc_ids), data]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], ["shard", "chunk", "start", "n_ids", "n_docs", "data"])
+            values = [shard, chunk, start, held, doc_ids, pack_chunk(np.concatenate(ids), lengths, bits)]
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(key_type[0]), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, types, strict=True)], ["shard", "chunk", "start", "n_ids", "doc_ids", "data"])
 
         for batch in batches:
-            keys = batch.column(0).to_pylist()
+            keys, key_type[:] = batch.column(0).to_pylist(), [batch.column(0).type]
             for first, texts in balanced(batch.column(1)):
                 for i, packed in enumerate(lib.packed(texts), first):
                     ids += [np.frombuffer(packed, lib.type).astype("<u4"), end]
@@ -250,9 +264,10 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, text: str = "text", d
         if doc_ids:
             yield flush()
 
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
+    kind = slim.schema["doc_id"].dataType.simpleString()
     placed = slim.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    placed.mapInArrow(encode, "shard int, chunk long, start long, n_ids long, n_docs long, data binary").write.option("compression", "none").parquet(path)
+    placed.mapInArrow(encode, f"shard int, chunk long, start long, n_ids long, doc_ids array<{kind}>, data binary").write.option("compression", "none").parquet(path)
 
 
 def read_ids(spark, path: str) -> DataFrame:
@@ -260,12 +275,13 @@ def read_ids(spark, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, start, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ids, doc_ids, lengths = unpack_chunk(data)
+            for row in range(batch.num_rows):
+                shard, start, data = (batch.column(i)[row].as_py() for i in (0, 1, 3))
+                ids, lengths = unpack_chunk(data)
                 ends = np.cumsum(lengths)
                 crcs = [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(ends, lengths, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard] * len(doc_ids), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(start + ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64())],
+                    [pa.array([shard] * len(lengths), pa.int32()), batch.column(2)[row].values, pa.array(start + ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64())],
                     ["shard", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
@@ -274,7 +290,8 @@ def read_ids(spark, path: str) -> DataFrame:
     totals = files.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))
-    decoded = files.select("shard", "start", "data").mapInArrow(decode, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    kind = files.schema["doc_ids"].dataType.elementType.simpleString()
+    decoded = files.select("shard", "start", "doc_ids", "data").mapInArrow(decode, f"shard int, doc_id {kind}, at long, n_tokens long, ids_crc32 long")
     return decoded.join(F.broadcast(offsets), "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
