@@ -88,11 +88,13 @@ def fit(patterns: dict[tuple[int, ...], int], names: list[str], rounds: int = RO
     """Expectation-maximisation over (pattern of votes: documents): the share of good documents, and how often each rule, when it votes,
     votes bad on good and on bad documents.
 
-    The start takes any bad vote as the sign of a bad document.  An abstention is no evidence.  Each estimate has one vote of prior,
+    The start takes any bad vote as the sign of a bad document, but for rules that vote bad on most documents: those tell nothing yet.
+    An abstention is no evidence.  Each estimate has one vote of prior,
     half for each side, which keeps it within (0, 1); nothing else bounds it.  Rounds end when the likelihood stays the same.
     """
     rows, n = list(patterns), [patterns[r] for r in patterns]
-    good = [0.05 if -1 in r else 0.97 for r in rows]
+    often = [sum(a * r[j] for a, r in zip(n, rows, strict=True)) < 0 for j in range(len(names))]
+    good = [0.05 if any(v < 0 and not o for v, o in zip(r, often, strict=True)) else 0.97 for r in rows]
     model = {"good": 0.5, "votes": {x: {"good": 0.01, "bad": 0.5} for x in names}, "rounds": 0, "converged": not rows}
     before = None
     while rows and model["rounds"] < rounds and not model["converged"]:
