@@ -8,6 +8,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,11 +38,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written under the shared folder: they cut lineage and outlive a lost executor."""
+    """Tables written under the shared folder: they cut lineage and outlive a lost executor.
+
+    A result may read them until it is written itself, so they go with the session unless they are dropped before.
+    """
+
+    made: ClassVar[list[Scratch]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        store, path = self._store(self.root)
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        Scratch.made.append(self)
+
+    def _store(self, path: str) -> tuple:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -56,9 +70,8 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        store, path = self._store(self.path(name))
+        store.delete(path, True)
 
 
 def text_or_empty(text: str | Column) -> Column:

@@ -57,42 +57,37 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ho
     else:
         rows = rows.select("row", "head", F.lit(0).cast("long").alias("deal"), F.lit(0).cast("long").alias("part"), F.lit(False).alias("split"))
 
-    key = ["head", "deal", "part"]
-    carried = ["row"] if whole else []
-    placed = rows.repartitionByRange(*key).select(*key, "split", *carried, own_id.alias("doc_id"), F.char_length(raw).alias("chars"), norm.alias("norm"), F.sha2(norm, 256).alias("sha"))
-    order = [F.col("chars").desc(), F.col("doc_id").asc_nulls_last()]
-    near = Window.partitionBy(*key).orderBy("norm", *order)
-    starts = F.when(F.lag("norm").over(near) == F.col("norm"), 0).otherwise(1)
-    runs = (
-        placed.withColumn("first", starts)
-        .withColumn("run", F.sum("first").over(near))
-        .withColumn("norm", F.when(F.col("split") & (F.col("first") == 1), F.col("norm")))
-    )
-    of_run = Window.partitionBy(*key, "run")
-    local = (
-        runs.withColumn("keep_id", F.first("doc_id").over(of_run.orderBy(F.col("first").desc(), *order)))
-        .withColumn("group_size", F.count("*").over(of_run))
-        .withColumn("kept", F.col("first") == 1)
-    )
+    key, order = ["head", "deal", "part"], [F.col("chars").desc(), F.col("doc_id").asc_nulls_last()]
     out = ["doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"), *(["row.*"] if whole else [])]
+
+    def local(some: DataFrame) -> DataFrame:
+        """Groups within a shard: copies are neighbours in the order of whole texts."""
+        carried = ["row"] if whole else []
+        placed = some.repartitionByRange(*key).select(*key, *carried, own_id.alias("doc_id"), F.char_length(raw).alias("chars"), norm.alias("norm"), F.sha2(norm, 256).alias("sha"))
+        near = Window.partitionBy(*key).orderBy("norm", *order)
+        placed = placed.withColumn("first", F.when(F.lag("norm").over(near) == F.col("norm"), 0).otherwise(1)).withColumn("run", F.sum("first").over(near))
+        placed = placed.withColumn("norm", F.when(F.col("first") == 1, F.col("norm")))
+        of_run = Window.partitionBy(*key, "run")
+        keep = F.first("doc_id").over(of_run.orderBy(F.col("first").desc(), *order))
+        return placed.withColumn("keep_id", keep).withColumn("group_size", F.count("*").over(of_run)).withColumn("kept", F.col("first") == 1)
+
     if not split:
-        return local.select(*out)
-    local = scratch.table(local.drop("head", "first"), "local")
-    winners = local.where(F.col("split") & F.col("kept"))
+        return local(rows).select(*out)
+    dealt = scratch.table(local(rows.where("split")).drop("head", "first"), "dealt")
     shard = ["sha", "deal", "part", "run"]
     of_text = Window.partitionBy("sha", "norm")
     best = of_text.orderBy(*order, *shard[1:])
-    elected = winners.select(
+    elected = dealt.where("kept").select(
         *shard,
         F.first("doc_id").over(best).alias("keep_all"),
         F.sum("group_size").over(of_text).alias("size_all"),
         (F.row_number().over(best) == 1).alias("best"),
     )
     merged = (
-        local.where("split").drop("keep_id", "group_size").join(elected, shard)
+        dealt.drop("keep_id", "group_size").join(elected, shard)
         .withColumnsRenamed({"keep_all": "keep_id", "size_all": "group_size"}).withColumn("kept", F.col("kept") & F.col("best"))
     )
-    return local.where(~F.col("split")).select(*out).unionByName(merged.select(*out))
+    return local(rows.where("not split")).select(*out).unionByName(merged.select(*out))
 
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int = HOT) -> DataFrame:
