@@ -15,7 +15,8 @@ nodes already connected are not looked for, so no group is expanded into all its
 
 Shingles are compared by 64-bit hashes, sets by 128-bit digests.  Nulls: a null text counts as empty, an empty set is linked with
 nothing; a null id never names a component, unless it has no other (then component_id is null).  Rows with a repeated id are
-rows of their own.  An empty table gives an empty result.
+rows of their own.  Texts of any length are shingled whole; other columns are not read by the join, and dropping copies carries them
+under their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from .textscan import shingles, word_hashes
 
 SKETCH_BITS = 20
 SKETCH_BLOCK = 1 << 14
+SKETCH_PARTS = 64
 LONGEST = 4
 COST = 64.0
 CELL = 2048
@@ -67,7 +69,7 @@ def each_set(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 def frequency_classes(texts: DataFrame, k: int) -> tuple[np.ndarray, float]:
     """The class of every sketch bucket, and the documents that class 1 stands for."""
-    size, parts = 1 << SKETCH_BITS, max(1, int(texts.rdd.getNumPartitions() ** 0.5))
+    size = 1 << SKETCH_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -78,7 +80,8 @@ def frequency_classes(texts: DataFrame, k: int) -> tuple[np.ndarray, float]:
             if sets:
                 sums += np.bincount((np.concatenate(sets) & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint32)
         blocks = [zlib.compress(sums[i : i + SKETCH_BLOCK].tobytes(), 1) for i in range(0, size, SKETCH_BLOCK)]
-        part = TaskContext.get().partitionId() % parts
+        # Sketches are added in two steps: those of partitions with a number in common, then these sums.
+        part = TaskContext.get().partitionId() % SKETCH_PARTS
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([part] * len(blocks), pa.int32()), pa.array(blocks, pa.binary())], ["block", "part", "data"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
@@ -212,7 +215,8 @@ def links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, similarit
     union = F.size("a_items") + F.size("b_items") - shared
     sure = met.join(full("a"), "a").join(full("b"), "b").where(similarity.b * shared >= similarity.a * union).select("a", "b")
     sure = scratch.table(sure, name)
-    scratch.drop(f"{name}-sets")
+    for part in ("sets", "met", "wanted"):
+        scratch.drop(f"{name}-{part}")
     scratch.release()
     return sure
 
@@ -229,6 +233,8 @@ def joined(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int =
     firsts = [F.first(c).alias(c) for c in ("n", "matches", "central", "prefix", "bits")]
     nodes = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *firsts).withColumn("node", F.monotonically_increasing_id())
     nodes = scratch.table(nodes, "nodes")
+    rows = scratch.table(rows.select("doc_id", "n", "digest"), "slim")
+    scratch.drop("rows")
     scratch.release()
 
     places = nodes.select("node", "central", F.explode("prefix").alias("token"))
@@ -254,6 +260,8 @@ def joined(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int =
     dealt = dealt.select("hub", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "label", "n", "bits", F.col("own").alias("side"), (F.col("own") == F.col("other")).alias("same"))
     rest = dealt.groupBy("hub", "x", "y").applyInArrow(cell_pairs(similarity), "a long, b long").distinct()
     rest = scratch.table(rest, "rest")
+    for part in ("open", "cells", "star"):
+        scratch.drop(part)
     more = links(rest, nodes, slim, k, similarity, scratch, "rest-links")
     labels = components(found.union(more), scratch, "labels")
 
