@@ -1,17 +1,21 @@
 """Language-model scores by a hidden Markov model trained with Baum-Welch over all training documents.
 
-A token is a lower-cased word; one end token closes each document.  The states emit classes: each of the CLASSES most frequent
-words is a class of its own, the others share SUFFIXES classes by the last two bytes of the word, and the end has one.  Within a
-class a word has its smoothed unigram share, and each suffix class holds 0.5 for words never seen, so the model is a distribution
-over all texts.  Classes, states and their tables have a fixed size; the word counts do not and are never broadcast: what
-documents hold beyond the CLASSES most frequent words is joined with the counts by hash, as one row for each document and word.
+A token is a lower-cased word; one end token closes each document.  The states emit classes: frequent words, at most CLASSES, are a
+class of their own each, the others share SUFFIXES classes by the last two bytes of the word, and the end has one.  The frequent
+words are those above a count; the count comes from a histogram of counts, so nothing is sorted in one task.  Within a class a
+word has its smoothed unigram share, and each suffix class holds 0.5 for all words never seen together: the model is a
+distribution over texts in which such words are not told apart within a class.  Classes, states and their tables have a fixed
+size; the word counts do not and are never broadcast: what documents hold beyond the frequent words is joined with the counts by
+hash, as one row for each document and word.
 
 Training: each partition runs the scaled forward-backward recursion over its documents, many at once, and returns expected
-counts by class; Spark adds them up, the driver holds parameters only.  For training alone, sequences are cut into pieces of
-SEGMENT tokens.  Scoring runs the scaled forward recursion over the whole sequence.
+counts by class; Spark adds them up, the driver holds parameters only.  Whole documents are recursed over: of a long one the
+forward variables are kept at every SEGMENT-th token and made again in between.  Rounds end when a token's mean log10
+probability gains less than GAIN, or after ROUNDS.  Scoring runs the scaled forward recursion over the whole sequence.
 
 Words are compared by a 64-bit hash.  Nulls: a null text is empty and has just the end token; a null id is crc32 of the empty
 text.  Repeated rows are scored each and counted each.  Without training rows counts are 0 and every class is equally likely.
+Other columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,12 +33,14 @@ from .textscan import _ODD, lowered, mix, span_hashes, text_bytes, word_spans
 CLASSES = 1 << 14
 SUFFIXES = 256
 STATES = 8
-ROUNDS = 4
+ROUNDS = 6
+#: A gain that no longer matters: scores are sums of log10 over tokens of about -3 each.
+GAIN = 0.02
 SEGMENT = 2048
 STAY = 0.9
 PRIOR = 200.0
 FOLDS, HELD_OUT = 5, 1
-GROUP_TOKENS = 1 << 17
+GROUP_TOKENS = 1 << 18
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,35 +176,52 @@ def log_likelihoods(model: dict, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected(model: dict, sequences: list[np.ndarray]) -> dict:
-    """Expected counts of starts, moves and emissions (classes by states)."""
+def expected(model: dict, sequences: list[np.ndarray], segment: int = SEGMENT) -> dict:
+    """Expected counts of starts, moves and emissions (classes by states), and the sum of log10 probabilities."""
     start, move, emit = model["start"], model["move"], model["emit"]
     k, size = len(start), len(emit)
-    total = {"start": np.zeros(k), "move": np.zeros((k, k)), "emit": np.zeros((size, k))}
+    total = {"start": np.zeros(k), "move": np.zeros((k, k)), "emit": np.zeros((size, k)), "log": 0.0}
     for some in groups(sequences):
         seen, live = padded([sequences[i] for i in some])
         steps, wide = seen.shape
-        alpha, scale = np.zeros((steps, wide, k)), np.ones((steps, wide))
-        for t, n in enumerate(live):
-            a = (np.broadcast_to(start, (n, k)) if t == 0 else alpha[t - 1, :n] @ move) * emit[seen[t, :n]]
-            scale[t, :n] = a.sum(1)
-            alpha[t, :n] = a / scale[t, :n, None]
-        beta = np.ones((wide, k))
-        moves = np.zeros((k, k))
-        for t in range(steps - 1, -1, -1):
+
+        def step(t: int, before: np.ndarray | None, seen: np.ndarray = seen, live: np.ndarray = live) -> tuple[np.ndarray, np.ndarray]:
             n = live[t]
-            if t:
-                ahead = emit[seen[t, :n]] * beta[:n] / scale[t, :n, None]
-                moves += alpha[t - 1, :n].T @ ahead
-                back = ahead @ move.T
-            alpha[t, :n] *= beta[:n]
-            if t:
-                beta[:n] = back
+            a = (np.broadcast_to(start, (n, k)) if before is None else before[:n] @ move) * emit[seen[t, :n]]
+            scale = a.sum(1)
+            return a / scale[:, None], scale
+
+        edges, kept, a = range(0, steps, segment), [None], None
+        for t in range(edges[-1]):
+            a, _ = step(t, a)
+            if t + 1 in edges:
+                kept.append(a)
+        beta, moves = np.ones((wide, k)), np.zeros((k, k))
+        for edge, before in zip(reversed(edges), reversed(kept), strict=True):
+            size_here = min(segment, steps - edge)
+            alpha, scale = np.zeros((size_here, wide, k)), np.ones((size_here, wide))
+            a = before
+            for t in range(size_here):
+                n = live[edge + t]
+                a, scale[t, :n] = step(edge + t, a)
+                alpha[t, :n] = a
+            total["log"] += float(np.log10(scale).sum())
+            for t in range(size_here - 1, -1, -1):
+                n = live[edge + t]
+                back, earlier = None, alpha[t - 1] if t else before
+                if earlier is not None:
+                    ahead = emit[seen[edge + t, :n]] * beta[:n] / scale[t, :n, None]
+                    moves += earlier[:n].T @ ahead
+                    back = ahead @ move.T
+                alpha[t, :n] *= beta[:n]
+                if back is not None:
+                    beta[:n] = back
+            if not edge:
+                total["start"] += alpha[0].sum(0)
+            flat = seen[edge : edge + size_here].reshape(-1)
+            for s in range(k):
+                total["emit"][:, s] += np.bincount(flat, alpha[:, :, s].reshape(-1), size)
         total["move"] += moves * move
-        total["start"] += alpha[0].sum(0)
-        flat = seen.reshape(-1)
-        for s in range(k):
-            total["emit"][:, s] += np.bincount(flat, alpha[:, :, s].reshape(-1), size)
     return total
 
 
@@ -210,28 +233,32 @@ def train(encoded: DataFrame, v: Vocabulary, states: int = STATES, rounds: int =
     """Baum-Welch with a prior of PRIOR unigram tokens for each state; expected counts come back as one row for each class."""
     model = start_model(v, states)
     names = [f"s{i}" for i in range(states)]
+    before = None
     for _ in range(rounds):
 
         def counts(batches: Iterator[pa.RecordBatch], model: dict = model) -> Iterator[pa.RecordBatch]:
             sums: dict = {}
             for batch in batches:
-                for at in range(0, batch.num_rows, 1000):
-                    cut = [x[i : i + SEGMENT] for x in sequences_of(batch.column(0).slice(at, 1000)) for i in range(0, len(x), SEGMENT)]
-                    for name, value in expected(model, cut).items():
+                for at in range(0, batch.num_rows, 2000):
+                    for name, value in expected(model, sequences_of(batch.column(0).slice(at, 2000))).items():
                         sums[name] = sums.get(name, 0) + value
             if sums:
-                table = np.concatenate([sums["emit"], sums["move"], sums["start"][None]])
+                table = np.concatenate([sums["emit"], sums["move"], sums["start"][None], np.full((1, states), sums["log"])])
                 some = np.flatnonzero(table.any(1))
                 yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(np.ascontiguousarray(table[some, i])) for i in range(states))], ["place", *names])
 
         rows = encoded.where("not held_out").select("sequence").mapInArrow(counts, "place long, " + ", ".join(f"{x} double" for x in names))
-        table = np.zeros((v.size + states + 1, states))
+        table = np.zeros((v.size + states + 2, states))
         for r in rows.groupBy("place").agg(*[F.sum(x).alias(x) for x in names]).toLocalIterator():
             table[r[0]] = r[1:]
         emit = table[: v.size] + PRIOR * v.base[:, None]
         move = table[v.size : v.size + states] + 1.0
-        first = table[-1] + 1.0
+        first = table[-2] + 1.0
         model = {"start": first / first.sum(), "move": move / move.sum(1, keepdims=True), "emit": emit / emit.sum(0)}
+        log = table[-1, 0] / max(1, v.total)
+        if before is not None and log - before < GAIN:
+            break
+        before = log
     return model
 
 
@@ -243,11 +270,20 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", states:
     counts = scratch.table(learn.select("text").mapInArrow(count_words, "word long, suffix short, n long").groupBy("word").agg(F.sum("n").alias("n"), F.max("suffix").alias("suffix")), "words")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = learn.count()
-    top = [(r[0], r[1]) for r in counts.orderBy(F.col("n").desc(), "word").select("word", "n").limit(classes).collect()]
+    # Counts by sixteenths of a power of two: about a thousand at most.  The frequent words are those from the lowest level on that leaves
+    # no more than ``classes`` of them.
+    level = F.floor(16 * F.log2("n")).cast("int")
+    most, least = 0, 1 << 30
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        most += r["words"]
+        if most > classes:
+            break
+        least = r["level"]
+    found = counts.where(level >= least).select("word", "n", "suffix").collect()
+    top = [(r["word"], r["n"]) for r in found]
     mass = {r[0]: float(r[1]) for r in counts.groupBy("suffix").agg(F.sum(F.col("n") + 0.5)).collect()}
-    inside = counts.orderBy(F.col("n").desc(), "word").limit(classes).groupBy("suffix").agg(F.sum(F.col("n") + 0.5)).collect()
-    for r in inside:
-        mass[r[0]] -= float(r[1])
+    for r in found:
+        mass[r["suffix"]] -= r["n"] + 0.5
     v = Vocabulary(top, mass, int(sums[0]), int(sums[1]), ends)
     kind = slim.schema["doc_id"].dataType.simpleString()
     encoded = slim.mapInArrow(encoder(v), f"row long, doc_id {kind}, held_out boolean, n_tokens long, sequence binary, top_base double, top_known long, words array<long>, suffixes array<short>, counts array<long>")
