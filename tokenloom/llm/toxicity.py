@@ -2,12 +2,15 @@
 
 Features of a text: densities of two tiers of a lexicon (as written and after undoing obfuscation), how near its words stand to
 second-person words, capitals, punctuation, digits and obfuscated words.  The lexicon is learned: over all labelled training rows
-the document frequency of every normalised word and stem is counted by class, and those with the highest likelihood ratios form it
-(at most LEXICON).  Trees are fitted on at most SAMPLE labelled training rows, the isotonic map on at most SAMPLE others; these two bounds
-are the only ones, and every document is scored on its whole text.
+the document frequency of every normalised word and stem is counted by class, and all whose likelihood ratio is beyond chance form
+it (8 bytes each, and no more than MIN_DOCUMENTS-th part of the words in toxic labelled texts).  Trees are fitted on at most SAMPLE
+labelled training rows, the isotonic map on at most SAMPLE others; these two bounds are the only ones, and every document is scored
+on its whole text, however long.
 
 Nulls: a null text counts as empty; empty texts have zero features and get the score of such.  Labels that are null, or whose
-id has no document, are not used.  Without labels of both classes every score is the share of toxic labels (0 without any).
+id has no document, are not used; of two labels for one id the larger counts, and it counts for all rows with that id.  Where the
+training rows lack a class every score is the share of toxic labels (0 without any).  Other columns are not read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +25,6 @@ from pyspark.sql import functions as F
 from .common import Scratch, fold
 from .textscan import is_space, lowered, mix, span_hashes, text_bytes, word_spans
 
-LEXICON = 400
 MIN_DOCUMENTS = 5
 #: Above what millions of words reach by chance.
 LEAST_Z = 6.0
@@ -246,10 +248,10 @@ def learn(labelled: DataFrame) -> dict:
                 word, n = np.unique(np.concatenate(mine), return_counts=True) if mine else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n * t), pa.array(n * (1 - t))], ["word", "toxic", "clean"])
 
-    total = labelled.where("part = 0").agg(F.sum("label"), F.count("*")).first()
-    toxic, clean = float(total[0] or 0), float((total[1] or 0) - (total[0] or 0))
+    sizes = {r["part"]: (float(r["toxic"]), float(r["n"] - r["toxic"])) for r in labelled.groupBy("part").agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).collect()}
+    toxic, clean = sizes.get(0, (0.0, 0.0))
     if not toxic or not clean:
-        return {"share": toxic / max(1.0, toxic + clean)}
+        return {"share": sum(x for x, _ in sizes.values()) / max(1.0, sum(map(sum, sizes.values())))}
     words = labelled.where("part = 0").select("text", "label").mapInArrow(words_seen, "word long, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     # Root of the likelihood ratio of the 2 x 2 table (word seen or not, toxic or clean).
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
@@ -258,10 +260,11 @@ def learn(labelled: DataFrame) -> dict:
     ratio = part(a, toxic * share) + part(b, clean * share) + part(toxic - a, toxic * (1 - share)) + part(clean - b, clean * (1 - share))
     odds = F.log((a + 0.5) / (toxic + 0.5)) - F.log((b + 0.5) / (clean + 0.5))
     ranked = words.where(f"a >= {MIN_DOCUMENTS} and word != 0").select("word", F.sqrt(2 * F.greatest(ratio, F.lit(0.0))).alias("z"), odds.alias("odds"))
-    top = ranked.where(f"z > {LEAST_Z} and odds > 1.5").orderBy(F.col("z").desc(), "word").limit(LEXICON).collect()
-    most = top[0]["z"] if top else 0.0
+    top = ranked.where(f"z > {LEAST_Z} and odds > 1.5").select("word", "z").collect()
+    most = max((r["z"] for r in top), default=0.0)
     tier = lambda keep: np.sort(np.array([r["word"] for r in top if keep(r["z"])], np.int64).view(np.uint64))
     model = {"strong": tier(lambda z: z >= 0.4 * most), "weak": tier(lambda z: z < 0.4 * most)}
+
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x = features(batch.column(0), model["strong"], model["weak"])
