@@ -26,8 +26,8 @@ from .common import Scratch, text_or_empty, without_spaces, words
 #: Rounds end before this when the likelihood stays the same.
 ROUNDS = 500
 KEEP_AT = 0.5
-#: Bad and good votes on documents of either class, before any are counted.
-PRIOR = {"good": (0.5, 50.0), "bad": (2.0, 1.0)}
+#: Good votes on good documents that each rule starts with, as a share of all documents.
+PRIOR = 0.1
 
 
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -91,9 +91,10 @@ def fit(patterns: dict[tuple[int, ...], int], names: list[str], rounds: int = RO
     votes bad on good and on bad documents.
 
     The start takes any bad vote as the sign of a bad document, but for rules that vote bad on most documents: those tell nothing yet.
-    An abstention is no evidence.  PRIOR holds votes that each rule is taken to have cast
-    already: where the counts can't tell (a single rule that ever votes bad fits any split of the classes) they decide, and no other
-    bound is set.  Rounds end when the likelihood stays the same.
+    An abstention is no evidence.  Of good documents each rule is taken to have
+    voted good on a further share PRIOR of all: where the counts can't tell (a single rule that ever votes bad fits any split of the
+    classes) this decides, alike at every size.  Half a vote for each side keeps estimates within (0, 1); nothing else bounds them.
+    Rounds end when the likelihood stays the same.
     """
     rows, n = list(patterns), [patterns[r] for r in patterns]
     often = [sum(a * r[j] for a, r in zip(n, rows, strict=True)) < 0 for j in range(len(names))]
@@ -105,7 +106,7 @@ def fit(patterns: dict[tuple[int, ...], int], names: list[str], rounds: int = RO
         rates: dict[str, dict[str, float]] = {}
         for j, x in enumerate(names):
             tally = {side: [sum(a for a, r in zip(own, rows, strict=True) if r[j] == v) for v in (-1, 1)] for side, own in share.items()}
-            rates[x] = {side: (down + PRIOR[side][0]) / (down + up + sum(PRIOR[side])) for side, (down, up) in tally.items()}
+            rates[x] = {side: (down + 0.5) / (down + up + 1 + (PRIOR * sum(n) if side == "good" else 0)) for side, (down, up) in tally.items()}
         model |= {"good": (sum(share["good"]) + 1) / (sum(n) + 2), "votes": rates, "rounds": model["rounds"] + 1}
         total = 0.0
         for i, r in enumerate(rows):
