@@ -58,6 +58,8 @@ class Definition:
     word_continuation: str = ""
     source: str = "tokenloom"
     meta: tuple[tuple[str, str], ...] = ()
+    #: (content, position) of tokens that a caller may put around texts; encoding doesn't.
+    templates: tuple[tuple[str, str], ...] = ()
 
     def validated(self) -> Definition:
         if self.model not in ("bytepair", "unigram", "wordpiece"):
@@ -119,5 +121,6 @@ class Definition:
             body[name] = tuple(Step(**s) for s in body[name])
         for name in ("scores", "fallback"):
             body[name] = tuple(body[name])
-        body["meta"] = tuple(tuple(x) for x in body["meta"])
+        for name in ("meta", "templates"):
+            body[name] = tuple(tuple(x) for x in body.get(name, ()))
         return cls(**body).validated()

@@ -9,7 +9,9 @@ import struct
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,9 +106,40 @@ class CharsMap:
         return "".join(out)
 
 
+def charsmap_blob(pairs: dict[str, str]) -> bytes:
+    """The double-array trie for a map of texts: every node of the trie has a block of 256 units of its own."""
+    nodes: list[dict[int, int]] = [{}]
+    leaves: dict[int, int] = {}
+    pool = b""
+    for key, value in pairs.items():
+        at = 0
+        for byte in key.encode():
+            if byte not in nodes[at]:
+                nodes[at][byte] = len(nodes)
+                nodes.append({})
+            at = nodes[at][byte]
+        leaves[at] = len(pool)
+        pool += value.encode() + b"\0"
+    base = lambda node: 256 * (node + 1)
+    units = [0] * base(len(nodes))
+    units[0] = base(0) << 10
+    for node, children in enumerate(nodes):
+        for byte, child in children.items():
+            place = base(node) ^ byte
+            units[place] = (place ^ base(child)) << 10 | (child in leaves) << 8 | byte
+        if node in leaves:
+            units[base(node)] = 1 << 31 | leaves[node]
+    return struct.pack(f"<I{len(units)}I", 4 * len(units), *units) + pool
+
+
 def _arrow(of: Callable[[str], str]) -> Callable[[Column], Column]:
     def run(batch: pa.Array) -> pa.Array:
-        return pa.array([None if row is None else [None if x is None else of(x) for x in row] for row in batch.to_pylist()], pa.list_(pa.string()))
+        # Once for each distinct segment; most texts are one segment.
+        flat = batch.flatten().dictionary_encode()
+        made = pa.array([None if x is None else of(x) for x in flat.dictionary.to_pylist()], pa.string()).take(flat.indices)
+        sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        return pa.ListArray.from_arrays(ends, made, mask=batch.is_null() if batch.null_count else None)
 
     return F.arrow_udf(run, "array<string>")
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,16 +53,26 @@ def process(ids: Column, steps: tuple[Step, ...]) -> Column:
     return reduce(one, steps, ids)
 
 
+def replaced_bytes(old: bytes, new: bytes) -> Callable[[Column], Column]:
+    """Literal replacement that leaves bytes which aren't text alone; an Arrow kernel, without a Python object for a row."""
+
+    def run(batch: pa.Array) -> pa.Array:
+        return pc.replace_substring(batch, old, new) if old else batch
+
+    return F.arrow_udf(run, "binary")
+
+
 def finish(raw: Column, steps: tuple[Step, ...]) -> Column:
-    """Decoding steps on bytes.  They see text; bytes that aren't text become U+FFFD, unless there is no step."""
-    if not steps:
-        return raw
-    text = F.make_valid_utf8(raw.cast("string"))
+    """Decoding steps on bytes.  Literal replacement works on bytes; other steps see text, in which bytes that aren't become U+FFFD."""
     for s in steps:
-        if s.name not in ("extend", "strip", "collapse", "replace", "replace_regex"):
+        if s.name == "replace":
+            raw = replaced_bytes(s.args["old"].encode(), s.args["new"].encode())(raw)
+            continue
+        if s.name not in ("extend", "strip", "collapse", "replace_regex"):
             raise DefinitionError(f"unknown decoding {s.name}")
-        text = F.when(text != "", COLUMN[s.name](text, **s.args)).otherwise(text)
-    return text.cast("binary")
+        text = F.make_valid_utf8(raw.cast("string"))
+        raw = F.when(text != "", COLUMN[s.name](text, **s.args)).otherwise(text).cast("binary")
+    return raw
 
 
 def text_of(ids: Column) -> Column:

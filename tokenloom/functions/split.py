@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..definition import DefinitionError, Step
 from .patterns import CUT, ESCAPE, ONE, TWO, java, literal
 
 BEHAVIOURS = ("match", "remove", "isolate", "merge", "merge_left", "merge_right")
-#: The scripts that script splitting tells apart; the rest are covered by the general pattern below.
-SCRIPTS = ("Latin", "Greek", "Cyrillic", "Armenian", "Hebrew", "Arabic", "Devanagari", "Bengali", "Tamil", "Thai", "Georgian", "Hangul", "Hiragana", "Katakana", "Han", "Bopomofo", "Ethiopic", "Khmer", "Mongolian", "Inherited")
+
+
+@lru_cache(maxsize=1)
+def scripts() -> tuple[str, ...]:
+    """All scripts that the JVM's Unicode tables know, but for the common one."""
+    known = SparkSession.getActiveSession().sparkContext._jvm.java.lang.Character.UnicodeScript.values()
+    return tuple(x for s in known if (x := s.toString()) not in ("COMMON", "UNKNOWN"))
 
 
 def escaped(text: Column) -> Column:
@@ -48,9 +53,11 @@ def pieces(text: Column, pattern: str, behaviour: str) -> Column:
 
 def script_pieces(text: Column) -> Column:
     """Cut where the script changes; common characters stay with the run before them, leading ones with the first run."""
-    runs = [f"\\p{{Is{s}}}[\\p{{Is{s}}}\\p{{IsCommon}}]*" for s in SCRIPTS]
-    other = "[^\\p{IsCommon}" + "".join(f"\\p{{Is{s}}}" for s in SCRIPTS) + "][^" + "".join(f"\\p{{Is{s}}}" for s in SCRIPTS) + "]*"
-    found = F.regexp_extract_all(text, F.lit("(?:\\A\\p{IsCommon}*)?(?:" + "|".join([*runs, other]) + ")"), F.lit(0))
+    runs = [f"\\p{{Is{s}}}[\\p{{Is{s}}}\\p{{IsCommon}}]*" for s in scripts()]
+    # Characters without a script are one more: what is neither common nor of any of these.
+    other = "[^\\p{IsCommon}" + "".join(f"\\p{{Is{s}}}" for s in scripts()) + "]"
+    runs.append(f"{other}(?:{other}|\\p{{IsCommon}})*")
+    found = F.regexp_extract_all(text, F.lit("(?:\\A\\p{IsCommon}*)?(?:" + "|".join(runs) + ")"), F.lit(0))
     return F.when(text == "", F.array().cast("array<string>")).when(F.size(found) == 0, F.array(text)).otherwise(found)
 
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from ..definition import Definition
 
 MEMORY_PARTS = 200_000
@@ -87,8 +91,6 @@ class Encoder:
     LOST = 1_000_000.0
 
     def _unigram(self) -> Callable[[str], list[int]]:
-        import numpy as np
-
         score = {b: float(np.float32(s)) for (_, b), s in zip(self.d.vocab, self.d.scores, strict=True)}
 
         def segment(units: list[bytes], fallback: tuple[str, ...]) -> list[int]:
@@ -155,7 +157,7 @@ class Encoder:
 def merge_short(units: list[bytes], rank: dict[bytes, int]) -> list[bytes]:
     units = list(units)
     while len(units) > 1:
-        best = min((rank[t], i) for i in range(len(units) - 1) if (t := units[i] + units[i + 1]) in rank) if any(units[i] + units[i + 1] in rank for i in range(len(units) - 1)) else None
+        best = min(((rank[t], i) for i in range(len(units) - 1) if (t := units[i] + units[i + 1]) in rank), default=None)
         if best is None:
             break
         units[best[1] : best[1] + 2] = [units[best[1]] + units[best[1] + 1]]
@@ -190,28 +192,76 @@ def merge_long(units: list[bytes], rank: dict[bytes, int]) -> list[bytes]:
     return [x for x in text if x is not None]
 
 
+def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """values[start : start + length] of all, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return values[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
+
+
+def row_bounds(rows: pa.ListArray) -> np.ndarray:
+    """Where each row's items begin among those of all rows that aren't null; one entry more than rows."""
+    sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def lists(rows: pa.ListArray, ends: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=rows.is_null() if rows.null_count else None)
+
+
+def encoded_parts(encode: Encoder, rows: pa.ListArray) -> pa.ListArray:
+    """ids of rows of parts (text, special): each distinct text of the batch is encoded once."""
+    flat, bounds = rows.flatten(), row_bounds(rows)
+    special, coded = flat.field("special"), flat.field("text").dictionary_encode()
+    marks = special.dictionary_encode()
+    ids = [encode(text) for text in coded.dictionary.to_pylist() if text is not None]
+    ids += [[i] for i in marks.dictionary.to_pylist()]
+    lengths = np.array([len(x) for x in ids], np.int64)
+    values = np.fromiter((i for x in ids for i in x), np.int64, int(lengths.sum()))
+    code = pc.fill_null(coded.indices, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    mark = pc.fill_null(marks.indices, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    code = np.where(special.is_valid().to_numpy(zero_copy_only=False), len(coded.dictionary) + mark, code)
+    if not len(ids):
+        return lists(rows, bounds, pa.array([], pa.int64()))
+    sizes = lengths[code]
+    ends = np.concatenate([[0], np.cumsum(sizes)])[bounds]
+    return lists(rows, ends, pa.array(gathered(values, (np.cumsum(lengths) - lengths)[code], sizes)))
+
+
 class Decoder:
-    """ids to bytes; the vocabulary comes before special tokens, and those come out only if their kind is asked for."""
+    """ids to bytes; the vocabulary comes before special tokens, and those come out only if their kind is asked for.
+
+    A token has two forms: one where nothing has come out of the row yet, and one after that; they differ for word pieces.
+    """
 
     def __init__(self, d: Definition, kinds: set[str]):
-        self.tokens = {i: b for i, b in reversed(d.vocab)}
-        self.specials = {s.id: s.bytes if s.kind in kinds else b"" for s in d.specials}
-        self.mark = d.word_continuation.encode()
+        mark = d.word_continuation.encode()
+        gap = b" " if mark else b""
+        forms = {s.id: (x := s.bytes if s.kind in kinds else b"", gap + x) for s in d.specials}
+        for i, b in reversed(d.vocab):
+            inner = bool(mark) and b.startswith(mark)
+            forms[i] = (b[len(mark) :], b[len(mark) :]) if inner else (b, gap + b)
+        self.ids = np.array(sorted(forms), np.int64)
+        both = [forms[i][k] for k in (0, 1) for i in self.ids.tolist()]
+        self.table = pa.array(both, pa.large_binary())
+        self.some = np.array([len(x) > 0 for x in both[: len(self.ids)]])
+
+    def rows(self, rows: pa.ListArray) -> pa.Array:
+        flat, bounds = rows.flatten().to_numpy(zero_copy_only=False), row_bounds(rows)
+        at = np.minimum(np.searchsorted(self.ids, flat), len(self.ids) - 1)
+        lost = self.ids[at] != flat
+        if lost.any():
+            raise EncodeError(f"no token has the id {flat[lost][0]}")
+        shown = self.some[at]
+        before = np.cumsum(shown) - shown
+        count = np.diff(bounds)
+        first = before == np.repeat(before[np.minimum(bounds[:-1], max(0, len(before) - 1))], count) if len(flat) else before
+        out = self.table.take(pa.array(np.where(first, at, at + len(self.ids))))
+        _, offsets, data = out.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[out.offset : out.offset + len(out) + 1] if len(flat) else np.zeros(1, np.int64)
+        ends = offsets[bounds]
+        valid = pc.is_valid(rows).buffers()[1] if rows.null_count else None
+        made = pa.Array.from_buffers(pa.large_binary(), len(rows), [valid, pa.py_buffer(np.ascontiguousarray(ends)), data if data is not None else pa.py_buffer(b"")])
+        return made.cast(pa.binary())
 
     def __call__(self, ids: list[int]) -> bytes:
-        out = bytearray()
-        for i in ids:
-            token = self.tokens.get(i)
-            if token is None:
-                if i not in self.specials:
-                    raise EncodeError(f"no token has the id {i}")
-                if self.mark and out:
-                    out += b" "
-                out += self.specials[i]
-            elif not self.mark:
-                out += token
-            elif token.startswith(self.mark):
-                out += token[len(self.mark) :]
-            else:
-                out += (b" " if out else b"") + token
-        return bytes(out)
+        return self.rows(pa.array([ids], pa.list_(pa.int64())))[0].as_py()

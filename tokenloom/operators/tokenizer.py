@@ -1,8 +1,9 @@
 """Encoding and decoding as DataFrame plans.
 
 Cutting, normalizing and splitting are Column expressions on arrays within the row; one Arrow call turns a row's parts into ids.
-Nothing shuffles, so the same plan runs on streams.  For counts over a corpus ``piece_counts`` goes by distinct parts instead:
-a partial aggregate brings them together and the model runs once for each.
+Nothing shuffles, so the same plan runs on streams.  Within an Arrow batch the model runs once for each distinct part, and ids are
+gathered by offsets, without a Python object for a part.  ``encode_distinct`` and ``piece_counts`` go by distinct parts of the whole
+table instead: a partial aggregate brings them together and the model runs once for each.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from ..functions.normalize import normalized
 from ..functions.patterns import CUT, ESCAPE, literal
 from ..functions.process import finish, process
 from ..functions.split import escaped, restored, split
-from .kernels import Decoder, Encoder
+from .kernels import Decoder, Encoder, encoded_parts
 
 PART = "struct<text:string,special:bigint>"
 
@@ -43,7 +44,10 @@ def _bytes_of(body: bytes) -> dict[int, bytes]:
 
 
 def alternation(specials: list[Special]) -> str:
-    return "|".join(literal(s.bytes.decode()) for s in specials if s.bytes)
+    """The first token in order that fits; where no token begins, one look at a character tells."""
+    tokens = [s.bytes.decode() for s in specials if s.bytes]
+    first = "".join(literal(c) for c in sorted({t[0] for t in tokens}))
+    return f"(?=[{first}])(?:{'|'.join(map(literal, tokens))})"
 
 
 def part(text: Column, special: Column | None = None) -> Column:
@@ -52,11 +56,10 @@ def part(text: Column, special: Column | None = None) -> Column:
 
 def special_id(text: Column, specials: list[Special], kinds: set[str] | None = None) -> Column:
     """The id of the special token that text spells, null for others and for kinds that aren't asked for."""
-    out = F.lit(None).cast("bigint")
-    for s in specials:
-        if kinds is None or s.kind in kinds:
-            out = F.when(text == s.bytes.decode(), F.lit(s.id).cast("bigint")).otherwise(out)
-    return out
+    known = {s.bytes.decode(): s.id for s in specials if kinds is None or s.kind in kinds}
+    if not known:
+        return F.lit(None).cast("bigint")
+    return F.element_at(F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*[F.lit(i).cast("bigint") for i in known.values()])), text)
 
 
 def cut_special(text: Column, specials: list[Special], kinds: set[str], keep_cuts: bool) -> Column:
@@ -68,11 +71,9 @@ def cut_special(text: Column, specials: list[Special], kinds: set[str], keep_cut
     if not specials:
         return F.array(part(text))
     marked = F.regexp_replace(escaped(text), alternation(specials), f"{CUT}$0{ESCAPE}{CUT}")
-    if not keep_cuts:
-        for s in specials:
-            if s.kind not in kinds:
-                token = s.bytes.decode()
-                marked = F.replace(marked, F.lit(f"{CUT}{token}{ESCAPE}{CUT}"), F.lit(token))
+    unasked = [s for s in specials if s.kind not in kinds]
+    if unasked and not keep_cuts:
+        marked = F.regexp_replace(marked, f"{CUT}({alternation(unasked)}){ESCAPE}{CUT}", "$1")
     pieces = F.filter(F.split(marked, CUT), lambda x: x != "")
 
     def one(x: Column) -> Column:
@@ -109,14 +110,7 @@ class Tokenizer:
         body = self._body
 
         def run(batch: pa.Array) -> pa.Array:
-            encode = _encoder(body)
-            out = []
-            for row in batch.to_pylist():
-                ids: list[int] | None = None if row is None else []
-                for x in row or ():
-                    ids += [x["special"]] if x["special"] is not None else encode(x["text"])
-                out.append(ids)
-            return pa.array(out, pa.list_(pa.int64()))
+            return encoded_parts(_encoder(body), batch)
 
         return F.arrow_udf(run, "array<bigint>")(column)
 
@@ -129,11 +123,20 @@ class Tokenizer:
         body, kinds = self._body, frozenset(self.definition.kinds(specials))
 
         def run(batch: pa.Array) -> pa.Array:
-            decode = _decoder(body, kinds)
-            return pa.array([None if row is None else decode(row) for row in batch.to_pylist()], pa.binary())
+            return _decoder(body, kinds).rows(batch)
 
         return df.withColumn(out, F.arrow_udf(run, "binary")(F.col(ids))).withColumn(out, finish(F.col(out), self.definition.decoding))
 
+    def encode_distinct(self, df: DataFrame, key: str, text: str = "text", out: str = "tokens", specials: bool | str | list[str] | None = True) -> DataFrame:
+        """The column that ``encode`` adds, by way of the distinct parts of the whole table; ``key`` is unique and not null."""
+        placed = df.select(key, F.posexplode(parts(F.col(text), self.definition, specials)).alias("pos", "p")).select(key, "pos", F.col("p.text").alias("part"), "p.special")
+        model = placed.select("part", "special").distinct().withColumn("ids", self.model(F.array(F.struct(F.col("part").alias("text"), "special"))))
+        same = F.col("a.part").eqNullSafe(F.col("b.part")) & F.col("a.special").eqNullSafe(F.col("b.special"))
+        found = placed.alias("a").join(model.alias("b"), same).select(f"a.{key}", F.struct("a.pos", "b.ids").alias("x"))
+        rows = found.groupBy(key).agg(F.flatten(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["ids"])).alias(out))
+        joined = df.join(rows, key, "left").withColumn(out, F.when(F.col(text).isNotNull(), F.coalesce(out, F.array().cast("array<bigint>"))))
+        return joined.withColumn(out, process(F.col(out), self.definition.processing)) if self.definition.processing else joined
+
     def piece_counts(self, df: DataFrame, by: list[str], text: str = "text") -> DataFrame:
         """by, piece, n, tokens: how often each distinct part occurs and how many tokens it has."""
         pieces = df.select(*by, F.explode(parts(F.col(text), self.definition, False)).alias("p")).select(*by, F.col("p.text").alias("piece"), "p.special")
@@ -154,12 +157,12 @@ class Tokenizer:
         body = self._body
 
         def encode(batch: pa.Array) -> pa.Array:
-            run = _encoder(body)
-            return pa.array([None if t is None else run(t) for t in batch.to_pylist()], pa.list_(pa.int64()))
+            ones = pa.StructArray.from_arrays([batch, pa.nulls(len(batch), pa.int64())], ["text", "special"])
+            rows = pa.ListArray.from_arrays(pa.array(range(len(batch) + 1), pa.int32()), ones, mask=batch.is_null())
+            return encoded_parts(_encoder(body), rows)
 
         def decode(batch: pa.Array) -> pa.Array:
-            run = _decoder(body, frozenset(self.definition.kinds(True)))
-            return pa.array([None if t is None else run(t) for t in batch.to_pylist()], pa.binary())
+            return _decoder(body, frozenset(self.definition.kinds(True))).rows(batch)
 
         spark.udf.register(f"encode_{name}", F.arrow_udf(encode, "array<bigint>"))
         spark.udf.register(f"decode_{name}", F.arrow_udf(decode, "binary"))

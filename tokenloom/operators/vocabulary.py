@@ -36,13 +36,16 @@ def without_specials(vocab: DataFrame, specials: DataFrame) -> DataFrame:
 
 
 def repaired_specials(specials: DataFrame, vocab: DataFrame) -> DataFrame:
-    """specials (token, id, ord): one whose id is another token's gets the next free id, in order of ord."""
-    top = F.greatest(*[F.coalesce(F.max("id"), F.lit(0)) for _ in range(2)])
-    most = vocab.select("id").union(specials.select("id")).agg(top.alias("most"))
+    """specials (token, id, ord): one whose id is another token's gets the next id above the vocabulary, in order of ord.
+
+    Special tokens are few; those that clash are numbered in one task, and the others don't meet.
+    """
     clash = vocab.select("id", F.col("token").alias("other"))
     marked = specials.join(clash, "id", "left").withColumn("bad", F.coalesce(F.col("other") != F.col("token"), F.lit(False)))
-    number = F.sum(F.col("bad").cast("long")).over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    return marked.join(F.broadcast(most)).select("token", F.when(F.col("bad"), F.col("most") + number).otherwise(F.col("id")).alias("id"), "ord")
+    most = vocab.agg(F.coalesce(F.max("id"), F.lit(0)).alias("most"))
+    new = F.col("most") + F.row_number().over(Window.orderBy("ord"))
+    moved = marked.where("bad").join(F.broadcast(most)).select("token", new.alias("id"), "ord")
+    return marked.where("not bad").select("token", "id", "ord").unionByName(moved)
 
 
 def decoded_byte(token: Column) -> Column:

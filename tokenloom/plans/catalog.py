@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from dataclasses import replace
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..definition import Definition, Special, Step, step
-from ..functions.normalize import ALL, normalize
+from ..functions.normalize import ALL, charsmap_blob, normalize
 from ..functions.process import finish, ids_of, process, text_of
 from ..functions.split import split
 from ..operators import vocabulary as V
@@ -19,11 +22,9 @@ from ..streaming.encode import token_windows
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-#: A small rank-ordered vocabulary in which merges chain; letters come first.
+#: A small rank-ordered vocabulary in which merges chain, for single texts; queries over documents take theirs from the corpus.
 LETTERS = list("abcdefghijklmnopqrstuvwxyz")
-MERGES = ["th", "he", "in", "er", "an", "on", "re", "es", "en", "the", "and", "ing", "tion", "ti", "nd", "ha", "ent", "tha", "her", "ou", "sh", "st"]
-VOCAB = LETTERS + MERGES
-PIECES = LETTERS + ["##" + x for x in LETTERS if x not in "qz"] + ["the", "##ing", "##er", "an", "##nd", "there", "##tion", "in", "##en", "st", "##st"]
+VOCAB = LETTERS + ["th", "he", "in", "er", "an", "on", "re", "es", "en", "the", "and", "ing", "tion", "ti", "nd", "ha", "ent", "tha", "her", "ou", "sh", "st"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +68,8 @@ norm("norm_nfc", "nfc_normalize(text)", step("unicode", form="NFC"))
 norm("norm_nfd", None, step("unicode", form="NFD"))
 norm("norm_nfkc", None, step("unicode", form="NFKC"))
 norm("norm_nfkd", None, step("unicode", form="NFKD"))
+CHANGES = {"ß": "ss", "é": "e", "ä": "ae", "th": "þ", "ü": "ue", "q": ""}
+norm("norm_charsmap", "regexp_replace(replace(replace(replace(replace(text, 'ß', 'ss'), 'é', 'e'), 'ä', 'ae'), 'ü', 'ue'), 'q', '', 'g')", step("charsmap", blob=charsmap_blob(CHANGES).hex()))
 norm("norm_conditional", "CASE WHEN text = '' THEN '' ELSE '_' || text END", step("conditional", position="start", step={"name": "prepend", "args": {"text": "_"}}))
 
 # Splits --------------------------------------------------------------------------------------------------------------------
@@ -96,7 +99,23 @@ cuts("split_merge_right", pieces_sql("[ ][^ ]*|[^ ]+"), cut("[ ]", "merge_right"
 cuts("split_char", pieces_sql("[^.]+"), cut(".", "remove", "char"))
 cuts("split_string", "array_to_string(list_filter(string_split(text, 'the'), lambda x: x <> ''), '" + BAR + "')", cut("the", "remove", "string"))
 cuts("split_chain", pieces_sql("[ ]|[^ t]*t|[^ t]+"), cut("[ ]", "isolate"), cut("t", "merge_left", "char"))
-cuts("split_unicode_script", pieces_sql("(?s).+"), step("scripts"))
+
+
+def mixed(text: Column) -> Column:
+    """Words of other scripts among the text's own."""
+    for old, new in MIXED.items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+#: Stand-ins of six scripts, two of them neighbours without a space.
+MIXED = {"the": "тхе", "and": "αντ", "ing": "ఇంకಇಂಕ", "der": "дер漢字", "que": "קוו"}
+SCRIPTS = "(?s)(?:^[\\p{Common}]*)?(?:" + "|".join(f"\\p{{{x}}}[\\p{{{x}}}\\p{{Common}}]*" for x in ("Latin", "Cyrillic", "Greek", "Telugu", "Kannada", "Han", "Hebrew", "Inherited")) + ")"
+QUERIES["split_unicode_script"] = lambda spark, sf: docs(spark, sf).select("doc_id", F.array_join(split(mixed(F.col("text")), (step("scripts"),)), BAR).alias("out"))
+MIXED_SQL = "text"
+for _old, _new in MIXED.items():
+    MIXED_SQL = f"replace({MIXED_SQL}, '{_old}', '{_new}')"
+ORACLES["split_unicode_script"] = f"SELECT doc_id, CASE WHEN len(p) = 0 THEN t ELSE array_to_string(p, '{BAR}') END AS out FROM (SELECT doc_id, t, regexp_extract_all(t, '{SCRIPTS}') AS p FROM (SELECT doc_id, {MIXED_SQL} AS t FROM documents))"
 GPT2_RE2 = r"''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
 cuts("split_gpt2_regex", pieces_sql(GPT2_RE2), cut(GPT2_RE2.replace("''", "'"), "isolate"))
 # DuckDB has neither look-ahead nor possessive repeats; tests compare these with another regex engine.
@@ -123,110 +142,188 @@ special_parts("special_extract", ["control"], "License", "'1000'")
 special_parts("special_post", True, "License|the |and", "CASE x WHEN 'License' THEN '1000' WHEN 'the ' THEN '1001' ELSE '1002' END")
 special_parts("special_kinds", ["priority"], "and", "'1002'")
 
-def unigram_score(i: int, token: str) -> float:
-    return -8.0 if len(token) == 1 else -9.5 - 0.25 * i
+# Models over a vocabulary of the corpus ------------------------------------------------------------------------------------
 
+#: Runs of Latin letters with a space before them, and every other character by itself: together the whole text.
+LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+WHOLE = f"[ ]?[{LETTER}]+|[^{LETTER}]"
+#: Frequent runs of two and three characters, and frequent words, that join the characters as tokens.
+TOP = {2: 64, 3: 48, 4: 64}
+UNKNOWN = 100_000
+UNK = Special(UNKNOWN, b"[UNK]", "unknown")
+SPLIT = (cut(WHOLE, "isolate"),)
 
-# Models --------------------------------------------------------------------------------------------------------------------
 
-BPE = Tokenizer(Definition("bytepair", tuple((i, b.encode()) for i, b in enumerate(VOCAB)), split=(cut("[a-z]+", "match"),)))
-UNK = Special(500, b"[UNK]", "unknown")
-BPE_END = Tokenizer(Definition("bytepair", tuple((i, b.encode()) for i, b in enumerate([*VOCAB, "e</w>", "the</w>"])), specials=(UNK,), fallback=("unknown", "skip"), split=(cut("[a-z]+", "match"),), word_end="</w>"))
-WHOLE = Tokenizer(Definition("bytepair", tuple((i, b.encode()) for i, b in enumerate(["the", "and", "for", "with", "that", "this"])), split=(cut("[a-z]+", "match"),)))
-PIECE = Tokenizer(Definition("wordpiece", tuple((i, b.encode()) for i, b in enumerate(PIECES)), max_word_chars=18, specials=(UNK,), fallback=("unknown", "skip"), split=(cut("[a-z]+", "match"),), word_continuation="##"))
-UNI = Tokenizer(Definition("unigram", tuple((i, b.encode()) for i, b in enumerate(VOCAB)), tuple(unigram_score(i, b) for i, b in enumerate(VOCAB)), split=(cut("[a-z]+", "match"),)))
-#: Vocabularies with letters missing, for what happens to units without a token.
-GAPS = [x for x in VOCAB if x not in ("k", "w", "g")]
-LATIN = "[a-zà-ÿ]+"
+@lru_cache(maxsize=8)
+def _corpus(app: str, sf: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Characters in order, then the most frequent runs of 2 and 3 characters, then words of 4 characters or more."""
+    spark = SparkSession.getActiveSession()
+    words = docs(spark, sf).select(F.explode(F.regexp_extract_all("text", F.lit(WHOLE), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    size = F.length("w")
+    run = lambda k: F.when(size >= k, F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.struct(F.lit(k).alias("kind"), F.substring(F.col("w"), i, F.lit(k)).alias("token"))))
+    whole = F.when(size >= 4, F.array(F.struct(F.lit(4).alias("kind"), F.col("w").alias("token"))))
+    none = F.array().cast("array<struct<kind:int,token:string>>")
+    runs = words.select("n", F.explode(F.concat(*[F.coalesce(x, none) for x in (run(1), run(2), run(3), whole)])).alias("x")).groupBy("x.kind", "x.token").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.col("n").desc(), "token"))
+    top = runs.where("kind > 1").withColumn("place", place).where("place <= CASE kind " + " ".join(f"WHEN {k} THEN {n}" for k, n in TOP.items()) + " END")
+    chars = tuple(sorted(r["token"] for r in runs.where("kind = 1").select("token").collect()))
+    return chars, tuple(r["token"] for r in top.orderBy("kind", "place").collect())
+
+
+def corpus(spark: SparkSession, sf: str) -> tuple[list[str], list[str]]:
+    chars, grams = _corpus(spark.sparkContext.applicationId, sf)
+    return list(chars), list(grams)
+
+
+CORPUS_SQL = f"""spots AS MATERIALIZED (SELECT doc_id, unnest(p) AS word, generate_subscripts(p, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '{WHOLE}') AS p FROM documents)),
+counted AS MATERIALIZED (SELECT word, count(*) AS n FROM spots GROUP BY word),
+distinct_words AS MATERIALIZED (SELECT word FROM counted),
+grams AS (SELECT kind, token, sum(n) AS n FROM (
+  SELECT kind, word[unnest(range(1, length(word) - kind + 2)):] AS rest, n, kind AS k FROM counted, (SELECT unnest([1, 2, 3]) AS kind) WHERE length(word) >= kind) t, LATERAL (SELECT t.rest[:t.k] AS token) GROUP BY kind, token
+  UNION ALL SELECT 4, word, n FROM counted WHERE length(word) >= 4),
+ranked AS (SELECT kind, token, row_number() OVER (PARTITION BY kind ORDER BY n DESC, token) AS place FROM grams),
+lists AS MATERIALIZED (SELECT (SELECT list(token ORDER BY token) FROM ranked WHERE kind = 1) AS chars,
+  (SELECT list(token ORDER BY kind, place) FROM ranked WHERE kind > 1 AND place <= CASE kind WHEN 2 THEN {TOP[2]} WHEN 3 THEN {TOP[3]} ELSE {TOP[4]} END) AS grams)"""
+
 
+def definition(model: str, tokens: list[str], **more) -> Definition:
+    return Definition(model, tuple((i, b.encode()) for i, b in enumerate(tokens)), split=SPLIT, **more)
 
-def gapped(model: str, fallback: tuple[str, ...], **more) -> Tokenizer:
-    vocab = tuple((i, b.encode()) for i, b in enumerate(GAPS))
-    return Tokenizer(Definition(model, vocab, tuple(unigram_score(i, b) for i, b in enumerate(GAPS)) if model == "unigram" else (), specials=(UNK,), fallback=fallback, split=(cut("[a-z]+", "match"),), **more))
 
+def unigram_scores(tokens: list[str]) -> tuple[float, ...]:
+    return tuple(-8.0 if len(b) == 1 else -9.5 - i / 128 for i, b in enumerate(tokens))
 
-def wordpieces(vocab: list[str], most: int) -> Tokenizer:
-    return Tokenizer(Definition("wordpiece", tuple((i, b.encode()) for i, b in enumerate(vocab)), max_word_chars=most, specials=(UNK,), fallback=("unknown", "skip"), split=(cut("[a-z]+", "match"),), word_continuation="##"))
 
+def short(chars: list[str], grams: list[str]) -> list[str]:
+    return chars + [g for g in grams if len(g) <= 4]
 
-BPE_BYTES = Tokenizer(Definition("bytepair", tuple((i, b.encode()) for i, b in enumerate(VOCAB)), chars=False, split=(cut("[a-z]+", "match"),)))
-BYTES_LEFT = Tokenizer(Definition("bytepair", tuple((i, b.encode()) for i, b in enumerate(VOCAB)) + tuple((300 + b, bytes([b])) for b in range(128, 256)), fallback=("bytes", "skip"), split=(cut(LATIN, "match"),)))
-STIFF = [x for x in PIECES if x not in ("##e", "##ing", "t")]
+
+def with_gaps(tokens: list[str]) -> list[str]:
+    """Without some characters, for what happens to units that have no token."""
+    return [x for x in tokens if x not in GAPS]
+
+
+def word_pieces(chars: list[str], grams: list[str]) -> list[str]:
+    return chars + grams + ["##" + c for c in chars if re.fullmatch(f"[{LETTER}]", c)] + ["##" + g for g in grams if g[0] != " "]
+
+
+GAPS = ("k", "w", "g", "é", ".")
+STIFF = ("##e", "t", "##an")
+FALL = {"specials": (UNK,), "fallback": ("unknown", "skip")}
+Make = Callable[[list[str], list[str]], Definition]
+#: The model of each query as a function of the corpus's characters and runs.
+MODELS: dict[str, Make] = {
+    "bpe_encode_chars": lambda c, g: definition("bytepair", c + g),
+    "bpe_encode_bytes": lambda c, g: definition("bytepair", [x for x in c if ord(x) < 0x800] + g, chars=False),
+    "bpe_whole_part": lambda c, g: definition("bytepair", [x for x in g if len(x) > 3]),
+    "bpe_end_of_word": lambda c, g: definition("bytepair", c + g + [x + "</w>" for x in c + g], word_end="</w>", **FALL),
+    "bpe_unk_fallback": lambda c, g: definition("bytepair", with_gaps(c + g), **FALL),
+    "bpe_skip_fallback": lambda c, g: definition("bytepair", with_gaps(c + g)),
+    "bpe_byte_fallback": lambda c, g: replace(d := definition("bytepair", [x for x in c + g if x.isascii()], fallback=("bytes", "skip")), vocab=d.vocab + tuple((UNKNOWN + b, bytes([b])) for b in range(128, 256))),
+    "wordpiece_encode": lambda c, g: definition("wordpiece", word_pieces(c, g), max_word_chars=18, word_continuation="##", **FALL),
+    "wordpiece_unk": lambda c, g: definition("wordpiece", [x for x in word_pieces(c, g) if x not in STIFF], max_word_chars=18, word_continuation="##", **FALL),
+    "wordpiece_maxchars": lambda c, g: definition("wordpiece", word_pieces(c, g), max_word_chars=5, word_continuation="##", **FALL),
+    "unigram_encode": lambda c, g: definition("unigram", t := short(c, g), scores=unigram_scores(t)),
+    "unigram_unk": lambda c, g: definition("unigram", t := with_gaps(short(c, g)), scores=unigram_scores(t), **FALL),
+    "decode_prefix": lambda c, g: definition("wordpiece", word_pieces(c, g), word_continuation="##"),
+    "decode_skip_specials": lambda c, g: replace(definition("bytepair", c + g), specials=(Special(UNKNOWN, b"the", "control", 0.0, True),)),
+    "roundtrip": lambda c, g: Definition("bytepair", tuple((b, bytes([b])) for b in range(256)) + tuple((256 + i, x.encode()) for i, x in enumerate(g)), chars=False, split=SPLIT),
+}
+
+
+def model(spark: SparkSession, sf: str, name: str) -> Tokenizer:
+    return Tokenizer(MODELS[name](*corpus(spark, sf)))
+
+
+BPE = Tokenizer(Definition("bytepair", tuple((i, b.encode()) for i, b in enumerate(VOCAB)), split=(cut("[a-z]+", "match"),)))
+BPE_END = Tokenizer(Definition("bytepair", tuple((i, b.encode()) for i, b in enumerate([*VOCAB, "e</w>", "the</w>"])), specials=(UNK,), fallback=("unknown", "skip"), split=(cut("[a-z]+", "match"),), word_end="</w>"))
+PIECE = Tokenizer(Definition("wordpiece", tuple((i, b.encode()) for i, b in enumerate([*LETTERS, *("##" + x for x in LETTERS)])), max_word_chars=18, specials=(UNK,), fallback=("unknown", "skip"), split=(cut("[a-z]+", "match"),), word_continuation="##"))
+UNI = Tokenizer(Definition("unigram", tuple((i, b.encode()) for i, b in enumerate(VOCAB)), unigram_scores(VOCAB), split=(cut("[a-z]+", "match"),)))
+BYTES_LEFT = Tokenizer(Definition("bytepair", tuple((i, b.encode()) for i, b in enumerate(VOCAB)) + tuple((300 + b, bytes([b])) for b in range(128, 256)), fallback=("bytes", "skip"), split=(cut("[a-zà-ÿ]+", "match"),)))
 
 
 def ids_text(ids: Column) -> Column:
     return F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
 
 
-def encodes(name: str, tok: Tokenizer, oracle: str | None) -> None:
-    QUERIES[name] = lambda spark, sf: tok.encode(docs(spark, sf).select("doc_id", "text"), specials=False).select("doc_id", ids_text(F.col("tokens")).alias("ids"))
-    if oracle:
-        ORACLES[name] = oracle
+BY_DOCUMENT = """SELECT d.doc_id, coalesce(array_to_string(flatten(list(w.ids ORDER BY a.pos)), ','), '') AS ids
+FROM documents d LEFT JOIN spots a USING (doc_id) LEFT JOIN words w USING (word) GROUP BY d.doc_id"""
 
 
-def per_word(solve: str, pattern: str = "[a-z]+") -> str:
-    """solve: CTEs that end in words(word, ids) for ``distinct_words``; reassembles documents."""
-    return f"""
-WITH RECURSIVE spots AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(text, '{pattern}')) AS word, generate_subscripts(regexp_extract_all(text, '{pattern}'), 1) AS pos FROM documents),
-distinct_words AS MATERIALIZED (SELECT DISTINCT word FROM spots), {solve}
-SELECT d.doc_id, coalesce(array_to_string(flatten(list(w.ids ORDER BY a.pos)), ','), '') AS ids
-FROM documents d LEFT JOIN spots a USING (doc_id) LEFT JOIN words w USING (word) GROUP BY d.doc_id"""
+def per_word(vocab: str, solve: str, final: str = BY_DOCUMENT) -> str:
+    """vocab: SQL for the list of tokens, of chars and grams.  solve: CTEs that end in words(word, ids) for ``distinct_words``."""
+    return f"WITH RECURSIVE {CORPUS_SQL},\nvv AS MATERIALIZED (SELECT {vocab} AS v FROM lists), {solve}\n{final}"
+
 
+ALL_SQL = "chars || grams"
 
-def bpe_sql(vocab: list[str], end: str = "", missing: str = "[]", pattern: str = "[a-z]+") -> str:
+
+def bpe_words(end: str = "", missing: str = "[]") -> str:
     """missing: the ids, as a list, of a unit u without a token."""
-    v = sql_list(vocab)
-    units = "string_split(word, '')" if not end else f"list_append(string_split(word, '')[:-2], right(word, 1) || '{end}')"
-    return per_word(f"""
+    units = "regexp_extract_all(word, '(?s).')"
+    if end:
+        units = f"list_append({units}[:-2], right(word, 1) || '{end}')"
+    return f"""
 m(word, units, found) AS (
-  SELECT word, CASE WHEN list_contains({v}, word || '{end}') THEN [word || '{end}'] ELSE {units} END, 1 FROM distinct_words
+  SELECT word, CASE WHEN list_contains(v, word || '{end}') THEN [word || '{end}'] ELSE {units} END, 1 FROM distinct_words, vv
   UNION ALL
   SELECT word, units[:i - 1] || [units[i] || units[i + 1]] || units[i + 2:], 1 FROM (
     SELECT word, units, list_position(ranks, list_min(ranks)) AS i, list_min(ranks) AS best FROM (
-      SELECT word, units, list_transform(range(1, len(units)), lambda k: list_position({v}, units[k] || units[k + 1])) AS ranks FROM m))
+      SELECT word, units, list_transform(range(1, len(units)), lambda k: list_position(v, units[k] || units[k + 1])) AS ranks FROM m, vv))
   WHERE best IS NOT NULL),
-words AS (SELECT word, flatten(list_transform(arg_min(units, len(units)), lambda u: CASE WHEN list_contains({v}, u) THEN [list_position({v}, u) - 1] ELSE {missing} END)) AS ids FROM m GROUP BY word)""", pattern)
+words AS (SELECT word, flatten(list_transform(u1, lambda u: CASE WHEN list_contains(v, u) THEN [list_position(v, u) - 1] ELSE {missing} END)) AS ids FROM (SELECT word, arg_min(units, len(units)) AS u1 FROM m GROUP BY word), vv)"""
 
 
-def unigram_sql(vocab: list[str]) -> str:
-    """Dynamic programming over ends; the last four costs and paths are all that a token of at most four letters needs."""
-    v = sql_list(vocab)
-    price = f"CASE WHEN list_contains({v}, t) THEN CASE WHEN length(t) = 1 THEN 8.0 ELSE 9.5 + 0.25 * (list_position({v}, t) - 1) END END".replace("t)", "word[e + 2 - n:e + 1])")
-    return per_word(f"""
+def unigram_words() -> str:
+    """Dynamic programming over ends; the last four costs and paths are all that a token of at most four characters needs."""
+    part = "word[e + 2 - n:e + 1]"
+    price = f"CASE WHEN list_contains(v, {part}) THEN CASE WHEN n = 1 THEN 8.0 ELSE 9.5 + (list_position(v, {part}) - 1) / 128 END END"
+    return f"""
 g(word, e, costs, paths) AS (
   SELECT word, 0, [0.0::DOUBLE], [[]::INT[]] FROM distinct_words
   UNION ALL
-  SELECT word, e + 1, (costs || [coalesce(best, 1000000.0)])[-4:], (paths || [paths[-n] || [coalesce(list_position({v}, word[e + 2 - n:e + 1]) - 1, 500)::INT]])[-4:] FROM (
+  SELECT word, e + 1, (costs || [coalesce(best, 1000000.0)])[-4:], (paths || [paths[-n] || [coalesce(list_position(v, {part}) - 1, {UNKNOWN})::INT]])[-4:] FROM (
     SELECT *, coalesce(list_max(list_filter(range(1, least(4, e + 1) + 1), lambda n: cand[n] = best)), 1) AS n FROM (
       SELECT *, list_min(cand) AS best FROM (
-        SELECT word, e, costs, paths, list_transform(range(1, least(4, e + 1) + 1), lambda n: (costs[-n] + {price})::DOUBLE) AS cand FROM g WHERE e < length(word))))),
-words AS (SELECT word, paths[-1] AS ids FROM g WHERE e = length(word))""")
+        SELECT word, e, costs, paths, v, list_transform(range(1, least(4, e + 1) + 1), lambda n: (costs[-n] + {price})::DOUBLE) AS cand FROM g, vv WHERE e < length(word))))),
+words AS (SELECT word, paths[-1] AS ids FROM g WHERE e = length(word))"""
 
 
-def piece_sql(vocab: list[str] = PIECES, most: int = 18) -> str:
-    v = sql_list(vocab)
-    return per_word(f"""
+def piece_words(most: int = 18) -> str:
+    return f"""
 g(word, pos, ids) AS (
   SELECT word, 1, []::INT[] FROM distinct_words WHERE length(word) <= {most}
   UNION ALL
-  SELECT word, pos + n, list_append(ids, list_position({v}, CASE WHEN pos = 1 THEN '' ELSE '##' END || word[pos:pos + n - 1]) - 1) FROM (
-    SELECT word, pos, ids, list_max(list_filter(range(1, length(word) - pos + 2), lambda n: list_contains({v}, CASE WHEN pos = 1 THEN '' ELSE '##' END || word[pos:pos + n - 1]))) AS n FROM g WHERE pos <= length(word))
+  SELECT word, pos + n, list_append(ids, list_position(v, CASE WHEN pos = 1 THEN '' ELSE '##' END || word[pos:pos + n - 1]) - 1) FROM (
+    SELECT word, pos, ids, v, list_max(list_filter(range(1, length(word) - pos + 2), lambda n: list_contains(v, CASE WHEN pos = 1 THEN '' ELSE '##' END || word[pos:pos + n - 1]))) AS n FROM g, vv WHERE pos <= length(word))
   WHERE n IS NOT NULL),
-words AS (SELECT d.word, coalesce(any_value(g.ids), [500]) AS ids FROM distinct_words d LEFT JOIN g ON g.word = d.word AND g.pos = length(d.word) + 1 GROUP BY d.word)""")
-
-
-encodes("bpe_whole_part", WHOLE, per_word("words AS (SELECT word, CASE WHEN list_contains(['the', 'and', 'for', 'with', 'that', 'this'], word) THEN [list_position(['the', 'and', 'for', 'with', 'that', 'this'], word) - 1] ELSE []::INT[] END AS ids FROM distinct_words)"))
-encodes("bpe_encode_chars", BPE, bpe_sql(VOCAB))
-encodes("bpe_end_of_word", BPE_END, bpe_sql([*VOCAB, "e</w>", "the</w>"], "</w>", "[500]"))
-encodes("bpe_encode_bytes", BPE_BYTES, bpe_sql(VOCAB))
-encodes("bpe_unk_fallback", gapped("bytepair", ("unknown", "skip")), bpe_sql(GAPS, missing="[500]"))
-encodes("bpe_skip_fallback", gapped("bytepair", ("skip",)), bpe_sql(GAPS))
-encodes("bpe_byte_fallback", BYTES_LEFT, bpe_sql(VOCAB, missing="CASE WHEN unicode(u) >= 128 THEN [492 + unicode(u) // 64, 428 + unicode(u) % 64] ELSE [] END", pattern=LATIN))
-encodes("wordpiece_encode", PIECE, piece_sql())
-encodes("wordpiece_unk", wordpieces(STIFF, 18), piece_sql(STIFF))
-encodes("wordpiece_maxchars", wordpieces(PIECES, 5), piece_sql(PIECES, 5))
-encodes("unigram_encode", UNI, unigram_sql(VOCAB))
-encodes("unigram_unk", gapped("unigram", ("unknown", "skip")), unigram_sql(GAPS))
+words AS (SELECT d.word, coalesce(any_value(g.ids), [{UNKNOWN}]) AS ids FROM distinct_words d LEFT JOIN g ON g.word = d.word AND g.pos = length(d.word) + 1 GROUP BY d.word)"""
+
+
+def encodes(name: str, oracle: str) -> None:
+    QUERIES[name] = lambda spark, sf: model(spark, sf, name).encode(docs(spark, sf).select("doc_id", "text"), specials=False).select("doc_id", ids_text(F.col("tokens")).alias("ids"))
+    ORACLES[name] = oracle
+
+
+PIECES_SQL = f"chars || grams || list_transform(list_filter(chars, lambda x: regexp_full_match(x, '[{LETTER}]')), lambda x: '##' || x) || list_transform(list_filter(grams, lambda x: x[1] <> ' '), lambda x: '##' || x)"
+SHORT_SQL = "chars || list_filter(grams, lambda x: length(x) <= 4)"
+#: The bytes of u as ids, by its hexadecimal digits.
+HEX_SQL = f"list_transform(range(1, len(hex(encode(u))), 2), lambda i: {UNKNOWN} + 16 * (strpos('0123456789ABCDEF', hex(encode(u))[i]) - 1) + strpos('0123456789ABCDEF', hex(encode(u))[i + 1]) - 1)"
+NO_GAPS = f"list_filter({{}}, lambda x: NOT list_contains({sql_list(list(GAPS))}, x))"
+encodes("bpe_whole_part", per_word("list_filter(grams, lambda x: length(x) > 3)", "words AS (SELECT word, CASE WHEN list_contains(v, word) THEN [list_position(v, word) - 1] ELSE [] END AS ids FROM distinct_words, vv)"))
+encodes("bpe_encode_chars", per_word(ALL_SQL, bpe_words()))
+encodes("bpe_end_of_word", per_word(f"{ALL_SQL} || list_transform({ALL_SQL}, lambda x: x || '</w>')", bpe_words("</w>", f"[{UNKNOWN}]")))
+encodes("bpe_encode_bytes", per_word("list_filter(chars, lambda x: unicode(x) < 2048) || grams", bpe_words()))
+encodes("bpe_unk_fallback", per_word(NO_GAPS.format(ALL_SQL), bpe_words(missing=f"[{UNKNOWN}]")))
+encodes("bpe_skip_fallback", per_word(NO_GAPS.format(ALL_SQL), bpe_words()))
+encodes("bpe_byte_fallback", per_word(f"list_filter({ALL_SQL}, lambda x: length(x) = strlen(x))", bpe_words(missing=HEX_SQL)))
+encodes("wordpiece_encode", per_word(PIECES_SQL, piece_words()))
+encodes("wordpiece_unk", per_word(f"list_filter({PIECES_SQL}, lambda x: NOT list_contains({sql_list(list(STIFF))}, x))", piece_words()))
+encodes("wordpiece_maxchars", per_word(PIECES_SQL, piece_words(5)))
+encodes("unigram_encode", per_word(SHORT_SQL, unigram_words()))
+encodes("unigram_unk", per_word(NO_GAPS.format(f"({SHORT_SQL})"), unigram_words()))
+QUERIES["bpe_encode_distinct"] = lambda spark, sf: model(spark, sf, "bpe_encode_chars").encode_distinct(docs(spark, sf).select("doc_id", "text"), "doc_id", specials=False).select("doc_id", ids_text(F.col("tokens")).alias("ids"))
+ORACLES["bpe_encode_distinct"] = ORACLES["bpe_encode_chars"]
 
 # Processing and decoding ---------------------------------------------------------------------------------------------------
 
@@ -257,8 +354,9 @@ processes("proc_pad", step("pad", id=0, length=200, stride=8), "CASE WHEN len(a)
 processes("proc_truncate", step("truncate", length=100, stride=8), "CASE WHEN len(a) <= 100 THEN a ELSE a[:greatest(0, len(a) - ((len(a) - 100 + 7) // 8) * 8)] END")
 
 
-def decodes(name: str, tok: Tokenizer, oracle: str, specials: bool | list[str] = True) -> None:
+def decodes(name: str, of: str, oracle: str, specials: bool | list[str] = True) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
+        tok = model(spark, sf, of)
         coded = tok.encode(docs(spark, sf).select("doc_id", "text"), specials=True)
         return tok.decode(coded, specials=specials).select("doc_id", F.col("bytes").cast("string").alias("out"))
 
@@ -266,11 +364,10 @@ def decodes(name: str, tok: Tokenizer, oracle: str, specials: bool | list[str] =
     ORACLES[name] = f"SELECT doc_id, coalesce({oracle}, '') AS out FROM documents"
 
 
-ONLY = "array_to_string(regexp_extract_all(text, '[a-z]+'), '')"
-decodes("decode_direct", BPE, ONLY)
-decodes("decode_prefix", Tokenizer(Definition("wordpiece", tuple((i, b.encode()) for i, b in enumerate([*LETTERS, *("##" + x for x in LETTERS)])), split=(cut("[a-z]+", "match"),), word_continuation="##")), "array_to_string(regexp_extract_all(text, '[a-z]+'), ' ')")
-decodes("decode_skip_specials", Tokenizer(Definition("bytepair", tuple((i, b.encode()) for i, b in enumerate(LETTERS)), specials=(Special(900, b"the", "control", 0.0, True),), split=(cut("[a-z]+", "match"),))), "array_to_string(regexp_extract_all(replace(text, 'the', '.'), '[a-z]+'), '')", ["unknown"])
-decodes("roundtrip", Tokenizer(Definition("bytepair", tuple((b, bytes([b])) for b in range(256)), chars=False, split=(cut("[ ]", "merge_right"),))), "text")
+decodes("decode_direct", "bpe_encode_chars", "text")
+decodes("decode_prefix", "decode_prefix", f"array_to_string(regexp_extract_all(text, '{WHOLE}'), ' ')")
+decodes("decode_skip_specials", "decode_skip_specials", "replace(text, 'the', '')", ["unknown"])
+decodes("roundtrip", "roundtrip", "text")
 
 
 def finishes(name: str, s: Step, oracle: str) -> None:
@@ -286,12 +383,12 @@ finishes("decode_extend", step("extend", ch=" ", left=1, right=0, pad=True), "CA
 
 
 def corpus_words(spark: SparkSession, sf: str) -> DataFrame:
-    """token, n, id: distinct lower-case runs of up to 12 letters; the length serves as id."""
-    words = docs(spark, sf).select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("token")).where(F.length("token") <= 12)
+    """token, n, id: distinct lower-case runs; the length serves as id."""
+    words = docs(spark, sf).select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("token"))
     return words.groupBy("token").agg(F.count("*").alias("n")).withColumn("id", F.length("token").cast("long"))
 
 
-WORDS_SQL = "w AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS token FROM documents) WHERE length(token) <= 12 GROUP BY token)"
+WORDS_SQL = "w AS MATERIALIZED (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS token FROM documents) GROUP BY token)"
 
 
 def vocab_merge_rank(spark: SparkSession, sf: str) -> DataFrame:
@@ -310,9 +407,9 @@ def vocab_sp_merges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["vocab_sp_merges"] = vocab_sp_merges
-ORACLES["vocab_sp_merges"] = f"""WITH {WORDS_SQL}, c AS (SELECT token, unnest(range(1, length(token))) AS k FROM w),
-m AS (SELECT DISTINCT c.token FROM c WHERE c.token[:k] IN (SELECT token FROM w) AND c.token[k + 1:] IN (SELECT token FROM w))
-SELECT token, token IN (SELECT token FROM m) AS merged FROM w"""
+ORACLES["vocab_sp_merges"] = f"""WITH {WORDS_SQL}, c AS MATERIALIZED (SELECT token, token[:k] AS a, token[k + 1:] AS b FROM (SELECT token, unnest(range(1, length(token))) AS k FROM w)),
+m AS MATERIALIZED (SELECT DISTINCT c.token FROM c JOIN w l ON l.token = c.a JOIN w r ON r.token = c.b)
+SELECT w.token, m.token IS NOT NULL AS merged FROM w LEFT JOIN m USING (token)"""
 
 
 def vocab_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -345,7 +442,7 @@ def vocab_special_repair(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES["vocab_special_repair"] = vocab_special_repair
 ORACLES["vocab_special_repair"] = f"""WITH {WORDS_SQL}, v AS (SELECT DISTINCT ascii(token) - 97 AS id FROM w), s AS (SELECT DISTINCT token[:2] AS token, ascii(token[2]) - 84 AS id FROM w WHERE length(token) >= 2),
-top AS (SELECT max(id) AS most FROM (FROM v UNION ALL SELECT id FROM s))
+top AS (SELECT max(id) AS most FROM v)
 SELECT token, id::BIGINT AS id FROM s WHERE id NOT IN (FROM v) UNION ALL
 SELECT token, (SELECT most FROM top) + row_number() OVER (ORDER BY token) FROM s WHERE id IN (FROM v)"""
 
@@ -381,46 +478,65 @@ SELECT length(token) AS id, token, CASE min(lang) WHEN 'de' THEN 'a' ELSE 'b' EN
 # Analytics -----------------------------------------------------------------------------------------------------------------
 
 
+BY_LANG = """SELECT lang, n_tokens, n_parts, n_chars FROM (SELECT d.lang, sum(len(w.ids))::BIGINT AS n_tokens, count(*) AS n_parts FROM documents d JOIN spots a USING (doc_id) JOIN words w USING (word) GROUP BY d.lang)
+JOIN (SELECT lang, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY lang) USING (lang)"""
+SIZED = "SELECT d.doc_id, any_value(d.lang) AS lang, any_value(d.source) AS source, coalesce(sum(len(w.ids)), 0)::BIGINT AS n FROM documents d LEFT JOIN spots a USING (doc_id) LEFT JOIN words w USING (word) GROUP BY d.doc_id"
+
+
+def sized(spark: SparkSession, sf: str) -> DataFrame:
+    return model(spark, sf, "bpe_encode_chars").encode(docs(spark, sf), specials=False).select("doc_id", "lang", "source", F.size("tokens").cast("long").alias("n"))
+
+
+def analytic(name: str, run: Query, final: str) -> None:
+    QUERIES[name] = run
+    ORACLES[name] = per_word(ALL_SQL, bpe_words(), final)
+
+
 def token_count_by_lang(spark: SparkSession, sf: str) -> DataFrame:
-    counts = WHOLE.piece_counts(docs(spark, sf), ["lang"]).groupBy("lang").agg(F.sum(F.col("n") * F.col("tokens")).cast("long").alias("n_tokens"), F.sum("n").cast("long").alias("n_parts"))
+    counts = model(spark, sf, "bpe_encode_chars").piece_counts(docs(spark, sf), ["lang"]).groupBy("lang").agg(F.sum(F.col("n") * F.col("tokens")).cast("long").alias("n_tokens"), F.sum("n").cast("long").alias("n_parts"))
     sizes = docs(spark, sf).groupBy("lang").agg(F.sum(F.length("text")).cast("long").alias("n_chars"))
     return sizes.join(counts, "lang").select("lang", "n_tokens", "n_parts", "n_chars")
 
 
-QUERIES["token_count_by_lang"] = token_count_by_lang
-ORACLES["token_count_by_lang"] = """WITH w AS (SELECT lang, unnest(regexp_extract_all(text, '[a-z]+')) AS word FROM documents)
-SELECT lang, n_tokens, n_parts, n_chars FROM (SELECT lang, count(*) FILTER (word IN ('the', 'and', 'for', 'with', 'that', 'this')) AS n_tokens, count(*) AS n_parts FROM w GROUP BY lang)
-JOIN (SELECT lang, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY lang) USING (lang)"""
+def token_topk(spark: SparkSession, sf: str) -> DataFrame:
+    ids = model(spark, sf, "bpe_encode_chars").encode(docs(spark, sf), specials=False).select(F.explode("tokens").alias("id"))
+    return ids.groupBy("id").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "id").limit(20)
 
 
-def token_topk(spark: SparkSession, sf: str) -> DataFrame:
-    ids = WHOLE.encode(docs(spark, sf), specials=False).select(F.explode("tokens").alias("id"))
-    return ids.groupBy("id").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "id").limit(3)
+def totals() -> list[Column]:
+    return [F.sum("n").cast("long").alias("n_tokens"), F.count("*").alias("n_docs")]
 
 
-QUERIES["token_topk"] = token_topk
-ORACLES["token_topk"] = """WITH w AS (SELECT list_position(['the', 'and', 'for', 'with', 'that', 'this'], unnest(regexp_extract_all(text, '[a-z]+'))) - 1 AS id FROM documents)
-SELECT id::BIGINT AS id, count(*) AS n FROM w WHERE id IS NOT NULL GROUP BY 1 ORDER BY n DESC, id LIMIT 3"""
+N_SQL = "sum(n)::BIGINT AS n_tokens, count(*) AS n_docs"
+analytic("token_count_by_lang", token_count_by_lang, BY_LANG)
+analytic("token_topk", token_topk, "SELECT id::BIGINT AS id, count(*) AS n FROM (SELECT unnest(w.ids) AS id FROM spots a JOIN words w USING (word)) GROUP BY 1 ORDER BY n DESC, id LIMIT 20")
+analytic("tokens_per_source_rollup", lambda spark, sf: sized(spark, sf).rollup("lang", "source").agg(*totals()), f"SELECT lang, source, {N_SQL} FROM ({SIZED}) GROUP BY ROLLUP (lang, source)")
+analytic("tokens_per_source_cube", lambda spark, sf: sized(spark, sf).cube("lang", "source").agg(*totals()), f"SELECT lang, source, {N_SQL} FROM ({SIZED}) GROUP BY CUBE (lang, source)")
+analytic("doc_truncation_stats", lambda spark, sf: sized(spark, sf).groupBy("lang").agg(F.sum((F.col("n") > 512).cast("long")).alias("cut"), F.sum(F.greatest(F.col("n") - 512, F.lit(0))).cast("long").alias("lost")), f"SELECT lang, count(*) FILTER (n > 512) AS cut, sum(greatest(n - 512, 0))::BIGINT AS lost FROM ({SIZED}) GROUP BY lang")
+analytic("docs_ranked_by_tokens", lambda spark, sf: sized(spark, sf).withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.col("n").desc(), "doc_id")).cast("long")).select("doc_id", "place", "n"), f"SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n DESC, doc_id) AS place, n FROM ({SIZED})")
 
 
-def tokens_per_source_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    sized = WHOLE.encode(docs(spark, sf), specials=False).select("lang", "source", F.size("tokens").cast("long").alias("n"))
-    return sized.rollup("lang", "source").agg(F.sum("n").cast("long").alias("n_tokens"), F.count("*").alias("n_docs"))
+def distinct_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct parts of each language, exactly and by a sketch, which is within five percent (its error is two percent, typically)."""
+    p = docs(spark, sf).select("lang", F.explode(split(F.col("text"), SPLIT)).alias("part"))
+    counted = p.groupBy("lang").agg(F.countDistinct("part").alias("n_parts"), F.approx_count_distinct("part", 0.01).alias("about"))
+    return counted.select("lang", "n_parts", (F.abs(F.col("about") - F.col("n_parts")) <= 0.05 * F.col("n_parts")).alias("sketch_is_close"))
 
 
-COUNT_SQL = "len(list_filter(regexp_extract_all(text, '[a-z]+'), lambda x: x IN ('the', 'and', 'for', 'with', 'that', 'this')))"
-QUERIES["tokens_per_source_rollup"] = tokens_per_source_rollup
-ORACLES["tokens_per_source_rollup"] = f"SELECT lang, source, sum({COUNT_SQL})::BIGINT AS n_tokens, count(*) AS n_docs FROM documents GROUP BY ROLLUP (lang, source)"
+QUERIES["distinct_parts_by_lang"] = distinct_parts
+ORACLES["distinct_parts_by_lang"] = f"SELECT lang, count(DISTINCT part) AS n_parts, true AS sketch_is_close FROM (SELECT lang, unnest(regexp_extract_all(text, '{WHOLE}')) AS part FROM documents) GROUP BY lang"
 
+EVENT = Tokenizer(Definition("bytepair", tuple((i, chr(i).encode()) for i in range(128)), split=SPLIT))
 
-def doc_truncation_stats(spark: SparkSession, sf: str) -> DataFrame:
-    sized = WHOLE.encode(docs(spark, sf), specials=False).select("lang", F.size("tokens").alias("n"))
-    return sized.groupBy("lang").agg(F.sum((F.col("n") > 8).cast("long")).alias("cut"), F.sum(F.greatest(F.col("n") - 8, F.lit(0))).cast("long").alias("lost"))
 
+def events(name: str, oracle: str, **window) -> None:
+    QUERIES[name] = lambda spark, sf: token_windows(table(spark, sf, "events"), EVENT, "event_type", "ts", **window).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n_tokens", "n_rows")
+    ORACLES[name] = oracle
 
-QUERIES["doc_truncation_stats"] = doc_truncation_stats
-ORACLES["doc_truncation_stats"] = f"SELECT lang, count(*) FILTER (n > 8) AS cut, sum(greatest(n - 8, 0))::BIGINT AS lost FROM (SELECT lang, {COUNT_SQL} AS n FROM documents) GROUP BY lang"
 
-EVENT = Tokenizer(Definition("bytepair", tuple((i, b.encode()) for i, b in enumerate(LETTERS)), split=(cut("[a-z]+", "match"),)))
-QUERIES["events_token_window"] = lambda spark, sf: token_windows(table(spark, sf, "events"), EVENT, "event_type", "ts").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n_tokens", "n_rows")
-ORACLES["events_token_window"] = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, sum(length(regexp_replace(event_type, '[^a-z]', '', 'g')))::BIGINT AS n_tokens, count(*) AS n_rows FROM events GROUP BY 1"
+TOKENS_SQL = "sum(length(event_type))::BIGINT AS n_tokens, count(*) AS n_rows"
+events("events_token_window", f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, {TOKENS_SQL} FROM events GROUP BY 1")
+events("events_token_sliding", f"""SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, {TOKENS_SQL} FROM (
+  SELECT event_type, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS start FROM events) GROUP BY 1""", width="2 hours", slide="1 hour")
+events("events_token_session", f"""SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, n_tokens, n_rows FROM (SELECT min(ts) AS start, {TOKENS_SQL} FROM (
+  SELECT *, sum(fresh) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY session)""", gap="5 minutes")

@@ -7,60 +7,105 @@ import json
 import re
 import struct
 from collections import deque
+from dataclasses import replace
 from typing import Any
 
 from ..definition import Definition, DefinitionError, Special, Step, step
 from ..functions.normalize import ALL
 from ..functions.patterns import literal
 
-#: Pre-token patterns and special tokens of public byte-level vocabularies.
-GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CL100K = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+#: Pre-token patterns of public byte-level vocabularies.
+P50K = r"'(?:[sdmt]|ll|ve|re)|\s?\p{L}+|\s?\p{N}+|\s?[^\s\p{L}\p{N}]+"
+CL100K = r"'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)"
 O200K = (
     r"[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+(?i:'s|'t|'re|'ve|'m|'ll|'d)?|"
     r"[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*(?i:'s|'t|'re|'ve|'m|'ll|'d)?|"
-    r"\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n/]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+    r"\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n/]*|\s*[\r\n]+|\s+(?!\S)"
 )
-CL100K_SPECIALS = {"<|endoftext|>": 100257, "<|fim_prefix|>": 100258, "<|fim_middle|>": 100259, "<|fim_suffix|>": 100260, "<|endofprompt|>": 100276}
+KIMI = (
+    r"[\p{Han}]+|"
+    r"[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}&&[^\p{Han}]]*[\p{Ll}\p{Lm}\p{Lo}\p{M}&&[^\p{Han}]]+(?i:'s|'t|'re|'ve|'m|'ll|'d)?|"
+    r"[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}&&[^\p{Han}]]+[\p{Ll}\p{Lm}\p{Lo}\p{M}&&[^\p{Han}]]*(?i:'s|'t|'re|'ve|'m|'ll|'d)?|"
+    r"\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)"
+)
+#: Special tokens of these vocabularies and their ids.
+CL100K_SPECIALS = {"<|endoftext|>": 100257, "<|fim_prefix|>": 100258, "<|fim_middle|>": 100259, "<|fim_suffix|>": 100260, "<|endofprompt|>": 100276, "<|im_start|>": 100264, "<|im_end|>": 100265}
 O200K_SPECIALS = {"<|endoftext|>": 199999, "<|endofprompt|>": 200018}
-P50K_SPECIALS = {"<|endoftext|>": 50256}
-TEKKEN_SPECIALS = ("<unk>", "<s>", "</s>", "[INST]", "[/INST]", "[AVAILABLE_TOOLS]", "[/AVAILABLE_TOOLS]", "[TOOL_RESULTS]", "[/TOOL_RESULTS]", "[TOOL_CALLS]", "[IMG]", "<pad>", "[IMG_BREAK]", "[IMG_END]")
-CLEANUP = [(" .", "."), (" ?", "?"), (" !", "!"), (" ,", ","), (" ' ", "'"), (" n't", "n't"), (" 'm", "'m"), (" do not", " don't"), (" 's", "'s"), (" 've", "'ve"), (" 're", "'re")]
+P50K_SPECIALS = {"<|endoftext|>": 50256, "<|fim_prefix|>": 50281, "<|fim_middle|>": 50282, "<|fim_suffix|>": 50283}
+#: Special tokens whose ids follow the vocabulary; a pair stands for numbered reserved names, (prefix, range of numbers).
+KIMI_SPECIALS = ["<|im_end|>", "<|im_user|>", "<|im_assistant|>", "<|start_header_id|>", "<|end_header_id|>", "[EOT]", "<|im_system|>", "<|im_middle|>"]
+LLAMA4_SPECIALS = [
+    "<|begin_of_text|>", "<|end_of_text|>", "<|fim_prefix|>", "<|fim_middle|>", "<|fim_suffix|>", "<|header_start|>", "<|header_end|>", "<|eom|>", "<|eot|>", "<|step|>",
+    ("text_post_train_", range(0, 6)),
+    "<|python_start|>", "<|python_end|>", "<|finetune_right_pad|>",
+    ("text_post_train_", range(8, 69)),
+    "<|image_start|>", "<|image_end|>", "<|vision_reserved_special_token_0|>", "<|vision_reserved_special_token_1|>", "<|tile_x_separator|>", "<|tile_y_separator|>",
+    "<|vision_reserved_special_token_2|>", "<|vision_reserved_special_token_3|>", "<|vision_reserved_special_token_4|>", "<|vision_reserved_special_token_5|>",
+    "<|image|>", "<|vision_reserved_special_token_6|>", "<|patch|>",
+    ("vision_", range(7, 1048)),
+    ("reasoning_", range(0, 7)),
+    "<|reasoning_thinking_start|>", "<|reasoning_thinking_end|>",
+]
+#: What special tokens are for.
+TIKTOKEN_IDENTS = {"<|begin_of_text|>": "bos", "<|end_of_text|>": "eos", "<|endoftext|>": "eos", "<|eot|>": "eot", "<|eom|>": "eom", "<|finetune_right_pad|>": "pad"}
+#: The first special tokens of tekken files, and those that have a purpose and aren't cut out before normalization.
+TEKKEN_SPECIALS = ("<unk>", "<s>", "</s>", "[INST]", "[/INST]", "[AVAILABLE_TOOLS]", "[/AVAILABLE_TOOLS]", "[TOOL_RESULTS]", "[/TOOL_RESULTS]", "[TOOL_CALLS]", "<pad>", "[PREFIX]", "[MIDDLE]", "[SUFFIX]")
+TEKKEN_IDENTS = {"<unk>": "unk", "<s>": "bos", "</s>": "eos", "<pad>": "pad"}
+#: Fixed value: spaces before these are taken away when word pieces are joined.
+CLEANUP = r"[ ](\.|\?|\!|\,|n't|'m|'s|'ve|'re)"
 
 
 def regex(pattern: str, behaviour: str) -> Step:
     return step("split", kind="regex", pattern=pattern, behaviour=behaviour)
 
 
+def numbered(names: list, first: int) -> dict[str, int]:
+    flat = [x for n in names for x in ([n] if isinstance(n, str) else [f"<|{n[0]}reserved_special_token_{i}|>" for i in n[1]])]
+    return {name: first + i for i, name in enumerate(flat)}
+
+
+def tiktoken_kind(n: int) -> tuple[str, dict[str, int], tuple]:
+    """Pattern, special tokens and templates by the vocabulary's size; files say nothing of them."""
+    if n == 200_000:
+        return O200K, numbered(LLAMA4_SPECIALS, n), (("<|begin_of_text|>", "sequence_start"), ("<|end_of_text|>", "sequence_end"))
+    if n == 163_584:
+        return KIMI, numbered(KIMI_SPECIALS, n), ()
+    if n >= 199_990:
+        return O200K, O200K_SPECIALS, ()
+    return (CL100K, CL100K_SPECIALS, ()) if n >= 100_000 else (P50K, P50K_SPECIALS, ())
+
+
 def from_tiktoken(data: bytes) -> Definition:
-    """Lines of base64 and id; the line order is the rank, the vocabulary's size tells pattern and special tokens."""
+    """Lines of base64 and id; the line order is the rank."""
     vocab = []
     for line in data.split(b"\n"):
-        if line.strip():
-            token, _, number = line.partition(b" ")
+        if line.strip(b"\r"):
+            token, _, number = line.strip(b"\r").partition(b" ")
             vocab.append((int(number), base64.b64decode(token, validate=True)))
     if not vocab:
         raise DefinitionError("no tokens")
-    if len(vocab) >= 199_990:
-        pattern, specials = O200K, O200K_SPECIALS
-    elif len(vocab) >= 100_000:
-        pattern, specials = CL100K, CL100K_SPECIALS
-    else:
-        pattern, specials = GPT2, P50K_SPECIALS
-    marks = tuple(Special(i, t.encode(), "control", float(k), True) for k, (t, i) in enumerate(specials.items()))
-    return Definition("bytepair", tuple(vocab), chars=False, specials=marks, split=(regex(pattern, "isolate"),), source="tiktoken").validated()
+    pattern, specials, templates = tiktoken_kind(len(vocab))
+    marks = tuple(Special(i, t.encode(), "control", float(k), True, TIKTOKEN_IDENTS.get(t)) for k, (t, i) in enumerate(specials.items()))
+    return Definition("bytepair", tuple(vocab), chars=False, specials=marks, split=(regex(pattern, "isolate"),), source="tiktoken", templates=templates).validated()
 
 
 def from_tekken(data: bytes) -> Definition:
-    """JSON with base64 tokens; ids follow the special tokens, and the vocabulary is cut to the default size."""
+    """JSON with base64 tokens; ids follow the special tokens, and the vocabulary is cut to the default size, in the file's order."""
     body = json.loads(data)
     config = body["config"]
-    n = int(config["default_num_special_tokens"])
-    keep = max(0, int(config["default_vocab_size"]) - n)
-    vocab = sorted((int(x["rank"]) + n, base64.b64decode(x["token_bytes"])) for x in body["vocab"][:keep])
-    names = [TEKKEN_SPECIALS[i] if i < len(TEKKEN_SPECIALS) else f"<SPECIAL_{i}>" for i in range(n)]
-    marks = tuple(Special(i, t.encode(), "unknown" if t == "<unk>" else "control", float(i), True, t.strip("<>/[]").lower()) for i, t in enumerate(names))
-    return Definition("bytepair", tuple(vocab), chars=False, specials=marks, fallback=("unknown", "skip"), split=(regex(config["pattern"], "isolate"),), source="tekken").validated()
+    wanted = config.get("default_num_special_tokens")
+    n = len(TEKKEN_SPECIALS) if wanted is None else int(wanted)
+    size = config.get("default_vocab_size")
+    size = len(body["vocab"]) if size is None else int(size)
+    names = [*TEKKEN_SPECIALS, *(f"<SPECIAL_{i}>" for i in range(len(TEKKEN_SPECIALS), n))]
+    if size > len(body["vocab"]) + n:
+        raise DefinitionError(f"{size} tokens are wanted, {len(body['vocab']) + n} are there")
+    if size < len(names):
+        raise DefinitionError(f"{size} tokens leave no room for {len(names)} special tokens")
+    vocab = sorted((int(x["rank"]) + len(names), base64.b64decode(x["token_bytes"])) for x in body["vocab"][: size - len(names)])
+    marks = tuple(Special(i, t.encode(), "unknown" if t == "<unk>" else "control", float(i), t not in TEKKEN_IDENTS, TEKKEN_IDENTS.get(t)) for i, t in enumerate(names))
+    templates = (("<s>", "sequence_start"), ("</s>", "sequence_end"))
+    return Definition("bytepair", tuple(vocab), chars=False, specials=marks, fallback=("unknown", "skip"), split=(regex(config["pattern"], "isolate"),), source="tekken", templates=templates).validated()
 
 
 # SentencePiece -------------------------------------------------------------------------------------------------------------
@@ -101,64 +146,83 @@ def fields(data: bytes) -> list[tuple[int, Any]]:
     return out
 
 
+#: Field numbers of the trainer's special pieces (id, piece), with their defaults; the unknown one's text is field 44.
+TRAINER_SPECIALS = {"unk": (40, 0, 45, b"<unk>"), "bos": (41, 1, 46, b"<s>"), "eos": (42, 2, 47, b"</s>"), "pad": (43, -1, 48, b"<pad>")}
+UNKNOWN_SURFACE = " ⁇ ".encode()
+#: The steps that normalizer names stand for.
+NORMALIZERS = {"identity": (), "nfkc": ("NFKC",), "nmt_nfkc": ("NFKC", "nmt"), "nfkc_cf": ("NFKC", "casefold"), "nmt_nfkc_cf": ("NFKC", "nmt", "casefold")}
+
+
 def from_sentencepiece(data: bytes) -> Definition:
     """Unigram and BPE models.  Pieces: 1 normal, 2 unknown, 3 control, 4 user defined, 5 unused, 6 byte."""
     try:
         body = fields(data)
     except IndexError as e:
         raise DefinitionError("not a protobuf file") from e
-    pieces = []
-    for number, value in body:
-        if number == 1:
-            one = dict(fields(value))
-            pieces.append((one.get(1, b""), float(one.get(2, 0.0)), int(one.get(3, 1))))
+    pieces = [dict(fields(value)) for number, value in body if number == 1]
     if not pieces:
         raise DefinitionError("no pieces")
-    trainer = dict(fields(next((v for n, v in body if n == 2), b"")))
-    norm = dict(fields(next((v for n, v in body if n == 3), b"")))
-    kind = {1: "unigram", 2: "bytepair"}.get(trainer.get(3, 1))
+    part = lambda n: next((dict(fields(v)) for number, v in body if number == n), None)
+    trainer, norm = part(2), part(3)
+    kind = {1: "unigram", 2: "bytepair"}.get((trainer or {}).get(3, 1))
     if not kind:
         raise DefinitionError("only unigram and BPE pieces are known")
-    normal: list[tuple[int, bytes, float]] = []
-    marks: list[Special] = []
-    singles: dict[bytes, int] = {}
-    for i, (text, score, type_) in enumerate(pieces):
+    # By text: a later piece takes the place of an earlier one, but a byte never that of a normal piece.
+    marks: dict[bytes, Special] = {}
+    templates: list[tuple[str, str]] = []
+    unknown = None
+    if trainer is not None:
+        for name, (id_field, id_, text_field, text) in TRAINER_SPECIALS.items():
+            i, text = trainer.get(id_field, id_) & 0xFFFFFFFF, trainer.get(text_field, text)
+            shown = trainer.get(44, UNKNOWN_SURFACE) if name == "unk" else text
+            marks[text] = Special(i, shown, "unknown" if name == "unk" else "control", 0.0, False, name)
+            unknown = i if name == "unk" else unknown
+            templates += [(text.decode(), "sequence_start" if name == "bos" else "sequence_end")] if name in ("bos", "eos") else []
+    normal: dict[bytes, tuple[int, float, bool]] = {}
+    for i, piece in enumerate(pieces):
+        text, score, type_ = piece.get(1, b""), float(piece.get(2, 0.0)), int(piece.get(3, 1))
         if type_ == 6:
-            singles[bytes([int(text[3:5], 16)])] = i
-        elif type_ in (2, 3, 4):
-            name = {2: "unknown", 3: "control", 4: "priority"}[type_]
-            marks.append(Special(i, text, name, 1 / (i + 1), False))
-        elif type_ == 1:
-            normal.append((i, text, score))
-    taken = {t for _, t, _ in normal}
-    normal += [(i, t, 0.0) for t, i in singles.items() if t not in taken]
-    fallback = (("bytes",) if trainer.get(35) or singles else ()) + ("unknown", "skip")
+            found = re.fullmatch(rb"<0x([0-9A-Fa-f]{2})>", text)
+            if not found:
+                raise DefinitionError(f"piece {i} is no byte: {text!r}")
+            text = bytes.fromhex(found[1].decode())
+            if text in normal and not normal[text][2]:
+                continue
+        if type_ == 2 and unknown is None:
+            marks[text], unknown = Special(i, text, "unknown", float(i), False, "unk"), i
+        elif type_ in (3, 4):
+            marks[text] = Special(i, text, "control" if type_ == 3 else "priority", float(i), False)
+        elif type_ in (1, 6):
+            normal[text] = (i, score, type_ == 6)
+    fallback = (("bytes",) if (trainer or {}).get(35) else ()) + ("unknown", "skip")
     steps: list[Step] = []
-    name = norm.get(1, b"").decode()
-    if norm.get(2):
-        steps.append(step("charsmap", blob=norm[2].hex()))
-    elif name in ("nfkc", "nmt_nfkc", "nfkc_cf", "nmt_nfkc_cf"):
-        steps.append(step("unicode", form="NFKC"))
-        steps += [step("nmt")] if name.startswith("nmt") else []
-    if name.endswith("_cf") and not norm.get(2):
-        steps.append(step("casefold"))
-    split: tuple[Step, ...] = ()
-    processing: tuple[Step, ...] = ()
-    unknown = next((s.id for s in marks if s.kind == "unknown"), None)
-    if norm.get(4, 1):  # remove_extra_whitespaces
+    if norm is not None:
+        name = norm.get(1, b"").decode()
+        if name == "user_defined" and norm.get(2):
+            steps.append(step("charsmap", blob=norm[2].hex()))
+        elif name in NORMALIZERS:
+            steps += [step("unicode", form=x) if x.startswith("NF") else step(x) for x in NORMALIZERS[name]]
+        else:
+            raise DefinitionError(f"normalizer {name!r} is not known, or lacks its map")
+    suffix = bool((trainer or {}).get(24))
+    left, right = (0, 1) if suffix else (1, 0)
+    behaviour, processing, pattern = "merge_left" if suffix else "merge_right", (), "▁+"
+    if (norm or {}).get(4, 1):  # remove_extra_whitespaces
         steps += [step("strip", ch=" ", left=ALL, right=ALL), step("collapse", ch=" ")]
-        split = (step("split", kind="char", pattern="▁", behaviour="merge_right"),)
-        processing = (step("collapse", id=unknown),) if unknown is not None else ()
-    decoding = [step("replace", old="▁", new=" ")]
-    if norm.get(3, 1):  # add_dummy_prefix
-        steps.append(step("extend", ch=" ", left=1, right=0, pad=False))
-        decoding.append(step("strip", ch=" ", left=1, right=0))
+        processing, pattern = ((step("collapse", id=unknown),) if unknown is not None else ()), "▁"
+    split = (step("split", kind="regex", pattern=pattern, behaviour=behaviour),)
     steps.append(step("replace", old=" ", new="▁"))
-    if kind == "unigram":
-        ranked = sorted(normal, key=lambda x: x[2])
-    else:
-        ranked = merge_order(normal)
-    return Definition(kind, tuple((i, t) for i, t, _ in ranked), tuple(s for *_, s in ranked) if kind == "unigram" else (), True, 0, tuple(marks), fallback, tuple(steps), split, processing, tuple(decoding), source="sentencepiece").validated()
+    decoding = [step("replace", old="▁", new=" ")]
+    if (norm or {}).get(3, 1):  # add_dummy_prefix
+        steps.append(step("extend", ch="▁", left=left, right=right, pad=False))
+        decoding.insert(0, step("strip", ch="▁", left=left, right=right))
+    rows = [(i, t, score) for t, (i, score, _) in normal.items()]
+    ranked = sorted(rows, key=lambda x: (x[2], x[0])) if kind == "unigram" else merge_order(rows)
+    specials = tuple(Special(s.id, s.bytes, s.kind, 1 / (s.score + 1), False, s.ident) for s in marks.values())
+    return Definition(
+        kind, tuple((i, t) for i, t, _ in ranked), tuple(s for *_, s in ranked) if kind == "unigram" else (), True, 0, specials, fallback, tuple(steps), split, processing, tuple(decoding),
+        source="sentencepiece", templates=tuple(templates),
+    ).validated()
 
 
 def merge_order(normal: list[tuple[int, bytes, float]]) -> list[tuple[int, bytes, float]]:
@@ -194,8 +258,9 @@ def _pattern(p: Any) -> str:
     return p["Regex"] if isinstance(p, dict) and "Regex" in p else literal(p["String"] if isinstance(p, dict) else p)
 
 
-CJK = "[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{20000}-\\x{2A6DF}\\x{2A700}-\\x{2B73F}\\x{2B740}-\\x{2B81F}\\x{2B820}-\\x{2CEAF}\\x{F900}-\\x{FAFF}\\x{2F800}-\\x{2FA1F}]"
-PUNCTUATION = "[\\p{P}\\x{21}-\\x{2F}\\x{3A}-\\x{40}\\x{5B}-\\x{60}\\x{7B}-\\x{7E}]"
+#: Ideographs that are set apart, and punctuation (Unicode's, and what else ASCII prints).
+CJK = "[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{20000}-\\x{2A6DF}\\x{2A700}-\\x{2B73F}\\x{2B740}-\\x{2B81F}\\x{2B920}-\\x{2CEAF}\\x{F900}-\\x{FAFF}\\x{2F800}-\\x{2FA1F}]"
+PUNCTUATION = "[\\x{0021}-\\x{002F}\\x{003A}-\\x{0040}\\x{005B}-\\x{0060}\\x{007B}-\\x{007E}\\p{P}]"
 BEHAVIOUR = {"Removed": "remove", "Isolated": "isolate", "MergedWithPrevious": "merge_left", "MergedWithNext": "merge_right", "Contiguous": "merge"}
 
 
@@ -227,6 +292,13 @@ def _normalizer(x: dict) -> list[Step]:
     raise DefinitionError(f"unknown normalizer {kind}")
 
 
+def prepending(x: dict) -> str:
+    scheme = x.get("prepend_scheme", "always").lower()
+    if x.get("add_prefix_space") is False and scheme != "never":
+        raise DefinitionError("Metaspace that prepends and has add_prefix_space off")
+    return scheme
+
+
 def _pre_tokenizer(x: dict, state: dict) -> tuple[list[Step], list[Step]]:
     """Normalization and splits that the component stands for."""
     kind = x["type"]
@@ -235,12 +307,12 @@ def _pre_tokenizer(x: dict, state: dict) -> tuple[list[Step], list[Step]]:
     if kind == "ByteLevel":
         state["bytes"] = True
         norm = [step("extend", ch=" ", left=1, right=0, pad=True)] if x.get("add_prefix_space", True) else []
-        return norm, [regex(GPT2, "isolate")] if x.get("use_regex", True) else []
+        return norm, [regex(P50K, "isolate")] if x.get("use_regex", True) else []
     if kind == "CharDelimiterSplit":
         return [], [step("split", kind="char", pattern=x["delimiter"], behaviour="remove")]
     if kind == "Metaspace":
         mark = x.get("replacement", "▁")
-        scheme = x.get("prepend_scheme", "always" if x.get("add_prefix_space", True) else "never").lower()
+        scheme = prepending(x)
         norm = [step("replace", old=" ", new=mark)]
         more = step("extend", ch=mark, left=1, right=0, pad=True)
         norm += [more] if scheme == "always" else [step("conditional", position="start", step={"name": more.name, "args": more.args})] if scheme == "first" else []
@@ -248,7 +320,7 @@ def _pre_tokenizer(x: dict, state: dict) -> tuple[list[Step], list[Step]]:
     if kind == "Whitespace":
         return [], [regex(r"\w+|[^\w\s]+", "match")]
     if kind == "WhitespaceSplit":
-        return [step("collapse", ch=" "), step("strip", ch=" ", left=ALL, right=ALL)], [step("split", kind="char", pattern=" ", behaviour="merge_right")]
+        return [step("replace_regex", pattern=r"\s+", new=" "), step("strip", ch=" ", left=ALL, right=ALL)], [step("split", kind="char", pattern=" ", behaviour="merge_right")]
     if kind == "Split":
         behaviour = BEHAVIOUR[x["behavior"]]
         return [], [regex(_pattern(x["pattern"]), "match" if x.get("invert") and behaviour == "remove" else behaviour)]
@@ -266,27 +338,74 @@ def _decoder(x: dict, state: dict) -> list[Step]:
     if kind == "BPEDecoder":
         return [step("replace", old=x.get("suffix", "</w>"), new=" "), step("strip", ch=" ", left=0, right=ALL)]
     if kind in ("ByteLevel", "Fuse"):
+        if kind == "ByteLevel" and not state.get("bytes"):
+            raise DefinitionError("byte-level decoding without its pre-tokenizer")
         return []
     if kind == "ByteFallback":
         state["runes"] = True
         return []
     if kind == "WordPiece":
-        out = [step("replace", old=a, new=b) for a, b in CLEANUP] if x.get("cleanup", True) else []
+        out = [step("replace_regex", pattern=CLEANUP, new="$1"), step("replace", old=" do not", new=" don't")] if x.get("cleanup", True) else []
         return [*out, step("replace", old=x.get("prefix", "##"), new=""), step("strip", ch=" ", left=0, right=1)]
     if kind == "Metaspace":
         mark = x.get("replacement", "▁")
-        first = [] if x.get("prepend_scheme", "always").lower() == "never" else [step("strip", ch=mark, left=1, right=0)]
+        first = [] if prepending(x) == "never" else [step("strip", ch=mark, left=1, right=0)]
         return [*first, step("replace", old=mark, new=" ")]
     if kind == "CTC":
         out = [step("replace", old=x.get("pad_token", "<pad>"), new="")]
-        return out + ([*(step("replace", old=a, new=b) for a, b in CLEANUP), step("replace", old=x.get("word_delimiter_token", "|"), new=" ")] if x.get("cleanup", True) else [])
+        # The clean-up pattern is taken literally here, so it is never found.
+        more = {CLEANUP: "$1", " ' ": "'", " do not": " don't", x.get("word_delimiter_token", "|"): " "} if x.get("cleanup", True) else {}
+        return [*out, *(step("replace", old=a, new=b) for a, b in more.items())]
     if kind == "Replace":
-        return [step("replace_regex", pattern=_pattern(x["pattern"]), new=x["content"])]
+        p = x["pattern"]
+        return [step("replace_regex", pattern=p["Regex"], new=x["content"]) if isinstance(p, dict) and "Regex" in p else step("replace", old=p["String"] if isinstance(p, dict) else p, new=x["content"])]
     if kind == "Strip":
         return [step("strip", ch=x.get("content", " "), left=x.get("start", 0), right=x.get("stop", 0))]
     raise DefinitionError(f"unknown decoder {kind}")
 
 
+def ident(text: str, kind: str) -> str | None:
+    """What an added token is for, by its name."""
+    if kind != "control":
+        return "unk" if kind == "unknown" else None
+    known = {"<startoftext>": "sot", "<endoftext>": "eot"}
+    bracketed = text[:1] + text[-1:] in ("[]", "<>") and len(text) > 1
+    return known.get(text) or (text.lstrip("<[").rstrip(">]").lower() if bracketed else None)
+
+
+def _templates(x: dict, state: dict, some: bool) -> list[tuple[str, str]]:
+    """Tokens around a text.  They are told to callers only: a special token of a post-processor that isn't an added token is none."""
+    kind = x["type"]
+    if kind in ("RobertaProcessing", "BertProcessing"):
+        return [(x["sep"][0], "sequence_end"), (x["cls"][0], "sequence_start")]
+    if kind == "ByteLevel":
+        if not state.get("bytes"):
+            raise DefinitionError("byte-level processing without its pre-tokenizer")
+        return []
+    if kind != "TemplateProcessing":
+        raise DefinitionError(f"unknown post-processor {kind}")
+    # Of a pair: what stands before, between and after the two texts; a token at two places belongs to each text.
+    place: list[list[str]] = [[], [], []]
+    at = 0
+    for p in x.get("pair") or []:
+        if "Sequence" in p:
+            at = min(at + 1, 2)
+        else:
+            place[at].append(p["SpecialToken"]["id"])
+    a, b, c = place
+    out = [(t, "sequence_start") for t in a if t not in b] + [(t, "subsequence_start") for t in a if t in b]
+    out += [(t, "sequence_continuation") for t in b if t not in a and t not in c] + [(t, "subsequence_end") for t in b if t in c]
+    out += [(t, "sequence_end") for t in c if t not in b]
+    single = x.get("single") or []
+    if not (out or some):
+        middle = next((i for i, p in enumerate(single) if "Sequence" in p), len(single))
+        for i, p in enumerate(single):
+            if "SpecialToken" in p:
+                outer = i == 0 if i < middle else i == len(single) - 1
+                out.append((p["SpecialToken"]["id"], ("" if outer else "sub") + ("sequence_start" if i < middle else "sequence_end")))
+    return out
+
+
 def from_tokenizers(data: bytes) -> Definition:
     body = json.loads(data)
     if "model" not in body:
@@ -297,9 +416,9 @@ def from_tokenizers(data: bytes) -> Definition:
     for x in _flat(body.get("pre_tokenizer"), "pretokenizers"):
         n, s = _pre_tokenizer(x, state)
         norm, split = norm + n, split + s
+    templates: list[tuple[str, str]] = []
     for x in _flat(body.get("post_processor"), "processors"):
-        if x["type"] == "ByteLevel" and not state.get("bytes"):
-            raise DefinitionError("byte-level processing without its pre-tokenizer")
+        templates += _templates(x, state, bool(templates))
     decoding = [s for x in _flat(body.get("decoder"), "decoders") for s in _decoder(x, state)]
     kind = model.get("type") or ("BPE" if "merges" in model else "WordPiece" if isinstance(model["vocab"], dict) else "Unigram")
     unknown = model.get("unk_token")
@@ -314,17 +433,21 @@ def from_tokenizers(data: bytes) -> Definition:
     made: dict[str, int] = {}
     for k, (a, b) in enumerate(merges):
         made.setdefault(a + b, k)
-    marks = []
+    named: dict[str, Special] = {}
+    unknown_id = model.get("unk_id") if kind == "Unigram" else None
     for k, x in enumerate(body.get("added_tokens") or []):
-        name = "unknown" if x["content"] == unknown else "control" if x.get("special") else "priority"
-        marks.append(Special(x["id"], x["content"].encode(), name, float(k), not x.get("normalized", False)))
-    if unknown and not any(s.bytes == unknown.encode() for s in marks) and (found := next((i for i, t in vocab if t == unknown), None)) is not None:
-        marks.append(Special(found, unknown.encode(), "unknown", float(len(marks)), False))
+        text = x["content"]
+        name = "unknown" if text == unknown or unknown_id is not None and x["id"] == unknown_id else "control" if x.get("special") else "priority"
+        named[text] = Special(x["id"], text.encode(), name, float(k), not x.get("normalized", False), ident(text, name))
+    marks = list(named.values())
     if kind == "BPE":
         marks = [s for s in marks if s.kind != "priority" or len(s.bytes) > 1 and s.bytes.decode() not in made]
         vocab.sort(key=lambda x: (made.get(x[1], len(merges)), x[0]))
     elif kind == "Unigram":
         vocab.sort(key=lambda x: (scores[x[0]], x[0]))
+    has_unknown = any(s.kind == "unknown" for s in marks)
+    if (unknown is not None or kind == "WordPiece") and not has_unknown:
+        raise DefinitionError(f"the unknown token {unknown!r} is not among the added tokens")
     gone = {s.bytes.decode() for s in marks}
     vocab = [x for x in vocab if x[1] not in gone]
     alphabet = byte_alphabet() if state.get("bytes") else None
@@ -338,15 +461,15 @@ def from_tokenizers(data: bytes) -> Definition:
         if kind == "WordPiece" or raw not in seen:
             seen.add(raw)
             tokens.append((i, raw))
-    ids = {i for i, _ in tokens}
-    following = max([*ids, *(s.id for s in marks)], default=0) + 1
+    # A special token with the id of another token gets the next id above the vocabulary.
+    ids = {i for i, _ in vocab}
+    following = max(ids, default=0) + 1
     fixed = []
     for s in sorted(marks, key=lambda s: s.order):
-        if s.id in ids:
+        if kind == "BPE" and s.id in ids:
             s, following = Special(following, s.bytes, s.kind, s.score, s.extract, s.ident), following + 1
         fixed.append(s)
-    has_unknown = any(s.kind == "unknown" for s in fixed)
-    fallback = (("bytes",) if model.get("byte_fallback") else ()) + (("unknown",) if has_unknown else ()) + ("skip",)
+    fallback = (("bytes",) if model.get("byte_fallback") and not (kind == "BPE" and alphabet) and kind != "WordPiece" else ()) + (("unknown",) if has_unknown else ()) + ("skip",)
     processing: list[Step] = []
     unk_id = next((s.id for s in sorted(fixed, key=lambda s: s.order) if s.kind == "unknown"), None)
     if unk_id is not None and (kind == "Unigram" or kind == "BPE" and model.get("fuse_unk")):
@@ -358,7 +481,7 @@ def from_tokenizers(data: bytes) -> Definition:
     name = {"BPE": "bytepair", "Unigram": "unigram", "WordPiece": "wordpiece"}[kind]
     return Definition(
         name, tuple(tokens), tuple(scores[i] for i, _ in tokens) if kind == "Unigram" else (), not alphabet, model.get("max_input_chars_per_word", 0) if kind == "WordPiece" else 0,
-        tuple(fixed), fallback, tuple(norm), tuple(split), tuple(processing), tuple(decoding), model.get("end_of_word_suffix") or "", (model.get("continuing_subword_prefix") or "") if kind == "WordPiece" else "", "tokenizers",
+        tuple(fixed), fallback, tuple(norm), tuple(split), tuple(processing), tuple(decoding), model.get("end_of_word_suffix") or "", (model.get("continuing_subword_prefix") or "") if kind == "WordPiece" else "", "tokenizers", templates=tuple(templates),
     ).validated()
 
 
@@ -392,11 +515,24 @@ def from_bytes(data: bytes, format: str | None = None) -> Definition:
     raise DefinitionError("no known format reads this")
 
 
-def load(spark, path: str, format: str | None = None) -> Definition:
-    """Reads a file from any store that Spark reads."""
-    return from_bytes(bytes(spark.read.format("binaryFile").load(path).first()["content"]), format)
-
-
 def hub_url(name: str) -> str:
     """hf:owner/name stands for that repository's tokenizer file; other addresses stay."""
     return f"https://huggingface.co/{name[3:]}/resolve/main/tokenizer.json" if name.startswith("hf:") else name
+
+
+def from_web(name: str) -> Definition:
+    """What an address holds; the definition's source is then the address."""
+    url = hub_url(name)
+    if not url.startswith(("http:", "https:")):
+        raise DefinitionError(f"no web address: {url}")
+    from urllib.request import urlopen
+
+    with urlopen(url) as answer:
+        return replace(from_bytes(answer.read()), source=url)
+
+
+def load(spark, path: str, format: str | None = None) -> Definition:
+    """Reads a file from any store that Spark reads, or from the web."""
+    if path.startswith(("hf:", "http:", "https:")):
+        return from_web(path)
+    return from_bytes(bytes(spark.read.format("binaryFile").load(path).first()["content"]), format)
