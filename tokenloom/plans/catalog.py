@@ -530,7 +530,8 @@ EVENT = Tokenizer(Definition("bytepair", tuple((i, chr(i).encode()) for i in ran
 
 
 def events(name: str, oracle: str, **window) -> None:
-    QUERIES[name] = lambda spark, sf: token_windows(table(spark, sf, "events"), EVENT, "event_type", "ts", **window).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n_tokens", "n_rows")
+    by = window.get("by", ())
+    QUERIES[name] = lambda spark, sf: token_windows(table(spark, sf, "events"), EVENT, "event_type", "ts", **window).select(*by, F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n_tokens", "n_rows")
     ORACLES[name] = oracle
 
 
@@ -538,5 +539,6 @@ TOKENS_SQL = "sum(length(event_type))::BIGINT AS n_tokens, count(*) AS n_rows"
 events("events_token_window", f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, {TOKENS_SQL} FROM events GROUP BY 1")
 events("events_token_sliding", f"""SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, {TOKENS_SQL} FROM (
   SELECT event_type, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS start FROM events) GROUP BY 1""", width="2 hours", slide="1 hour")
-events("events_token_session", f"""SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, n_tokens, n_rows FROM (SELECT min(ts) AS start, {TOKENS_SQL} FROM (
-  SELECT *, sum(fresh) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY session)""", gap="5 minutes")
+events("events_token_session", f"""SELECT user_id, strftime(start, '%Y-%m-%d %H:%M') AS start, n_tokens, n_rows FROM (SELECT user_id, min(ts) AS start, {TOKENS_SQL} FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, session)""", gap="3 hours", by=("user_id",))
