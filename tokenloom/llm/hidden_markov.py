@@ -9,8 +9,8 @@ size; the word counts do not and are never broadcast: what documents hold beyond
 hash, as one row for each document and word.
 
 Training: each partition runs the scaled forward-backward recursion over its documents, many at once, and returns expected
-counts by class; Spark adds them up, the driver holds parameters only.  Whole documents are recursed over: of a long one the
-forward variables are kept at every SEGMENT-th token and made again in between.  Rounds end when a token's mean log10
+counts by class; Spark adds them up, the driver holds parameters only.  Whole documents are recursed over: of one with more than
+GROUP_TOKENS tokens the forward variables are kept at the ends of pieces and made again in between.  Rounds end when a token's mean log10
 probability gains less than GAIN, or after ROUNDS.  Scoring runs the scaled forward recursion over the whole sequence.
 
 Words are compared by a 64-bit hash.  Nulls: a null text is empty and has just the end token; a null id is crc32 of the empty
@@ -36,11 +36,11 @@ STATES = 8
 ROUNDS = 6
 #: A gain that no longer matters: scores are sums of log10 over tokens of about -3 each.
 GAIN = 0.02
-SEGMENT = 2048
 STAY = 0.9
 PRIOR = 200.0
 FOLDS, HELD_OUT = 5, 1
-GROUP_TOKENS = 1 << 18
+#: Tokens in a recursion, and tokens held (two bytes each) to sort documents by length.
+GROUP_TOKENS, HELD_TOKENS = 1 << 18, 1 << 22
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,92 +141,117 @@ def start_model(v: Vocabulary, states: int) -> dict:
 
 
 def groups(sequences: list[np.ndarray]) -> Iterator[list[int]]:
-    """Indices of sequences of like length, GROUP_TOKENS together at most (or one sequence)."""
-    order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
-    at = 0
-    while at < len(order):
-        n = max(1, GROUP_TOKENS // max(1, len(sequences[order[at]])))
-        yield order[at : at + n]
-        at += n
+    """Indices of sequences, the longest first, with GROUP_TOKENS tokens together at most (or one sequence)."""
+    some, size = [], 0
+    for i in sorted(range(len(sequences)), key=lambda i: -len(sequences[i])):
+        if some and size + len(sequences[i]) > GROUP_TOKENS:
+            yield some
+            some, size = [], 0
+        some.append(i)
+        size += len(sequences[i])
+    if some:
+        yield some
+
+
+def by_time(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Classes at the first token of all sequences, then at the second ..., and where each time begins (one entry more than times).
+    Sequences are given longest first, so those that still run are the first ones at every time."""
+    lengths = np.array([len(x) for x in sequences])
+    at = np.concatenate([[0], np.cumsum(np.searchsorted(-lengths, -np.arange(lengths[0]), "left"))])
+    time = np.arange(at[-1]) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    seen = np.empty(at[-1], np.int64)
+    seen[at[time] + np.repeat(np.arange(len(sequences)), lengths)] = np.concatenate(sequences)
+    return seen, at
 
 
-def padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Classes by time and sequence, and how many sequences still run at each time; longest first."""
-    lengths = np.array([len(x) for x in sequences])
-    out = np.zeros((lengths[0], len(sequences)), np.int64)
-    for j, x in enumerate(sequences):
-        out[: len(x), j] = x
-    live = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
-    return out, live
+def forward(model: dict, emitted: np.ndarray, at: np.ndarray, a: np.ndarray | None, alpha: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The scaled forward variables after the times that ``at`` bounds, and the scales; ``alpha`` takes those of every time."""
+    start, move, ones = model["start"], model["move"], np.ones(len(model["start"]))
+    scale = np.empty(len(emitted))
+    for low, high in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        a = emitted[low:high] * start if a is None else (a[: high - low] @ move) * emitted[low:high]
+        s = np.dot(a, ones, out=scale[low:high])
+        a = np.divide(a, s[:, None], out=None if alpha is None else alpha[low:high])
+    return a, scale
 
 
 def log_likelihoods(model: dict, sequences: list[np.ndarray]) -> np.ndarray:
-    """log10 of each sequence's probability, by the scaled forward recursion; holds one step at a time."""
+    """log10 of each sequence's probability, by the scaled forward recursion."""
     out = np.zeros(len(sequences))
-    start, move, emit = model["start"], model["move"], model["emit"]
     for some in groups(sequences):
-        seen, live = padded([sequences[i] for i in some])
-        logs, a = np.zeros(len(some)), None
-        for t, n in enumerate(live):
-            a = (np.broadcast_to(start, (n, len(start))) if t == 0 else a[:n] @ move) * emit[seen[t, :n]]
-            scale = a.sum(1)
-            a = a / scale[:, None]
-            logs[:n] += np.log10(scale)
+        seen, at = by_time([sequences[i] for i in some])
+        a, logs = None, np.zeros(len(some))
+        for first, stop in pieces_of(at, GROUP_TOKENS):
+            here = at[first : stop + 1] - at[first]
+            a, scale = forward(model, model["emit"][seen[at[first] : at[stop]]], here, a)
+            logs += np.bincount(np.arange(here[-1]) - np.repeat(here[:-1], np.diff(here)), np.log10(scale), len(some))
         out[some] = logs
     return out
 
 
-def expected(model: dict, sequences: list[np.ndarray], segment: int = SEGMENT) -> dict:
+def pieces_of(at: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Successive times as (first, stop) with about ``size`` tokens together."""
+    out, first = [], 0
+    while first < len(at) - 1:
+        stop = max(first + 1, int(np.searchsorted(at, at[first] + size, "right")) - 1)
+        out.append((first, stop))
+        first = stop
+    return out
+
+
+def expected(model: dict, sequences: list[np.ndarray], piece: int = GROUP_TOKENS) -> dict:
     """Expected counts of starts, moves and emissions (classes by states), and the sum of log10 probabilities."""
-    start, move, emit = model["start"], model["move"], model["emit"]
-    k, size = len(start), len(emit)
+    move, emit = model["move"], model["emit"]
+    k, size = len(move), len(emit)
     total = {"start": np.zeros(k), "move": np.zeros((k, k)), "emit": np.zeros((size, k)), "log": 0.0}
     for some in groups(sequences):
-        seen, live = padded([sequences[i] for i in some])
-        steps, wide = seen.shape
-
-        def step(t: int, before: np.ndarray | None, seen: np.ndarray = seen, live: np.ndarray = live) -> tuple[np.ndarray, np.ndarray]:
-            n = live[t]
-            a = (np.broadcast_to(start, (n, k)) if before is None else before[:n] @ move) * emit[seen[t, :n]]
-            scale = a.sum(1)
-            return a / scale[:, None], scale
-
-        edges, kept, a = range(0, steps, segment), [None], None
-        for t in range(edges[-1]):
-            a, _ = step(t, a)
-            if t + 1 in edges:
-                kept.append(a)
-        beta, moves = np.ones((wide, k)), np.zeros((k, k))
-        for edge, before in zip(reversed(edges), reversed(kept), strict=True):
-            size_here = min(segment, steps - edge)
-            alpha, scale = np.zeros((size_here, wide, k)), np.ones((size_here, wide))
-            a = before
-            for t in range(size_here):
-                n = live[edge + t]
-                a, scale[t, :n] = step(edge + t, a)
-                alpha[t, :n] = a
+        seen, at = by_time([sequences[i] for i in some])
+        cuts, before = pieces_of(at, piece), [None]
+        for first, stop in cuts[:-1]:
+            before.append(forward(model, emit[seen[at[first] : at[stop]]], at[first : stop + 1] - at[first], before[-1])[0])
+        beta, moves = np.ones((len(some), k)), np.zeros((k, k))
+        for (first, stop), earlier in zip(reversed(cuts), reversed(before), strict=True):
+            classes, here = seen[at[first] : at[stop]], at[first : stop + 1] - at[first]
+            ahead = emit[classes]
+            alpha = np.empty_like(ahead)
+            _, scale = forward(model, ahead, here, earlier, alpha)
             total["log"] += float(np.log10(scale).sum())
-            for t in range(size_here - 1, -1, -1):
-                n = live[edge + t]
-                back, earlier = None, alpha[t - 1] if t else before
-                if earlier is not None:
-                    ahead = emit[seen[edge + t, :n]] * beta[:n] / scale[t, :n, None]
-                    moves += earlier[:n].T @ ahead
-                    back = ahead @ move.T
-                alpha[t, :n] *= beta[:n]
-                if back is not None:
-                    beta[:n] = back
-            if not edge:
-                total["start"] += alpha[0].sum(0)
-            flat = seen[edge : edge + size_here].reshape(-1)
+            ahead /= scale[:, None]
+            for t in range(stop - first - 1, -1, -1):
+                low, high = int(here[t]), int(here[t + 1])
+                n = high - low
+                x = ahead[low:high]
+                x *= beta[:n]
+                prior = alpha[int(here[t - 1]) : int(here[t - 1]) + n] if t else earlier
+                alpha[low:high] *= beta[:n]
+                if prior is not None:
+                    moves += prior[:n].T @ x
+                    np.dot(x, move.T, out=beta[:n])
+            if not first:
+                total["start"] += alpha[: here[1]].sum(0)
             for s in range(k):
-                total["emit"][:, s] += np.bincount(flat, alpha[:, :, s].reshape(-1), size)
+                total["emit"][:, s] += np.bincount(classes, alpha[:, s], size)
         total["move"] += moves * move
     return total
 
 
 def sequences_of(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u2").astype(np.int64) for x in column.to_pylist()]
+    return [np.frombuffer(x, "<u2") for x in column.to_pylist()]
+
+
+def held(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.Table, list[np.ndarray]]]:
+    """Rows of about HELD_TOKENS tokens together, and their sequences: many at once, since a step costs much the same for one."""
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch)
+        size += batch.column(column).nbytes // 2
+        if size >= HELD_TOKENS:
+            table = pa.Table.from_batches(some)
+            yield table, sequences_of(table.column(column))
+            some, size = [], 0
+    if some:
+        table = pa.Table.from_batches(some)
+        yield table, sequences_of(table.column(column))
 
 
 def train(encoded: DataFrame, v: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> dict:
@@ -238,10 +263,9 @@ def train(encoded: DataFrame, v: Vocabulary, states: int = STATES, rounds: int =
 
         def counts(batches: Iterator[pa.RecordBatch], model: dict = model) -> Iterator[pa.RecordBatch]:
             sums: dict = {}
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2000):
-                    for name, value in expected(model, sequences_of(batch.column(0).slice(at, 2000))).items():
-                        sums[name] = sums.get(name, 0) + value
+            for _, sequences in held(batches, 0):
+                for name, value in expected(model, sequences).items():
+                    sums[name] = sums.get(name, 0) + value
             if sums:
                 table = np.concatenate([sums["emit"], sums["move"], sums["start"][None], np.full((1, states), sums["log"])])
                 some = np.flatnonzero(table.any(1))
@@ -290,14 +314,12 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", states:
     encoded = scratch.table(encoded, "encoded")
     model = train(encoded, v, states, rounds)
 
-    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                logs = log_likelihoods(model, sequences_of(part.column(6)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(logs)], ["row", "doc_id", "held_out", "n_tokens", "top_base", "top_known", "classes"])
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, sequences in held(batches, 6):
+            logs = pa.array(log_likelihoods(model, sequences))
+            yield from table.select(range(6)).append_column("classes", logs).to_batches()
 
-    states_of = encoded.select("row", "doc_id", "held_out", "n_tokens", "top_base", "top_known", "sequence").mapInArrow(forward, f"row long, doc_id {kind}, held_out boolean, n_tokens long, top_base double, top_known long, classes double")
+    states_of = encoded.select("row", "doc_id", "held_out", "n_tokens", "top_base", "top_known", "sequence").mapInArrow(scores, f"row long, doc_id {kind}, held_out boolean, n_tokens long, top_base double, top_known long, classes double")
     others = encoded.select("row", F.explode(F.arrays_zip("words", "suffixes", "counts")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.suffixes").alias("suffix"), F.col("w.counts").alias("n"))
     known = counts.select("word", F.col("n").alias("c"))
     joined = others.join(known, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
