@@ -1,12 +1,13 @@
 """Language-model scores by a hidden Markov model trained with Baum-Welch over all training documents.
 
-A token is a lower-cased word; one end token closes each document.  The states emit classes: frequent words, at most CLASSES, are a
-class of their own each, the others share SUFFIXES classes by the last two bytes of the word, and the end has one.  The frequent
-words are those above a count; the count comes from a histogram of counts, so nothing is sorted in one task.  Within a class a
+A token is a lower-cased word; one end token closes each document.  The states emit classes: frequent words are a class of their
+own each, the others share SUFFIXES classes by the last two bytes of the word, and the end has one.  The frequent words are those
+above a count that leaves PER_ROOT for each unit of the square root of the training tokens, so their number grows as vocabularies
+do (Heaps' law); the count comes from a histogram of counts, so nothing is sorted in one task.  Within a class a
 word has its smoothed unigram share, and each suffix class holds 0.5 for all words never seen together: the model is a
-distribution over texts in which such words are not told apart within a class.  Classes, states and their tables have a fixed
-size; the word counts do not and are never broadcast: what documents hold beyond the frequent words is joined with the counts by
-hash, as one row for each document and word.
+distribution over texts in which such words are not told apart within a class.  What the states emit goes to every task: 64 bytes
+for a frequent word and 8 states, some 2 MB for 80 million tokens and some 900 MB for 10 ** 13.  The word counts are never broadcast: what
+documents hold beyond the frequent words is joined with the counts by hash, as one row for each document and word.
 
 Training: each partition runs the scaled forward-backward recursion over its documents, many at once, and returns expected
 counts by class; Spark adds them up, the driver holds parameters only.  Whole documents are recursed over: of one with more than
@@ -20,6 +21,7 @@ Other columns are not read, whatever their names; an empty table gives an empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, fold
 from .textscan import _ODD, lowered, mix, span_hashes, text_bytes, word_spans
 
-CLASSES = 1 << 14
+PER_ROOT = 4.0
 SUFFIXES = 256
 STATES = 8
 ROUNDS = 6
@@ -39,7 +41,7 @@ GAIN = 0.02
 STAY = 0.9
 PRIOR = 200.0
 FOLDS, HELD_OUT = 5, 1
-#: Tokens in a recursion, and tokens held (two bytes each) to sort documents by length.
+#: Tokens in a recursion, and tokens held (four bytes each) to sort documents by length.
 GROUP_TOKENS, HELD_TOKENS = 1 << 18, 1 << 22
 
 
@@ -76,12 +78,12 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Vocabulary:
-    """The fixed-size part: the most frequent words, class sizes and totals."""
+    """The most frequent words, as (hash, count), with class sizes and totals."""
 
-    def __init__(self, top: list[tuple[int, int]], suffix_mass: dict[int, float], total: int, distinct: int, ends: int):
-        words = np.array([w for w, _ in top], np.int64).view(np.uint64)
-        order = np.argsort(words)
-        self.words, self.counts = words[order], np.array([n for _, n in top], np.int64)[order]
+    def __init__(self, top: list[tuple[int, int]] | np.ndarray, suffix_mass: dict[int, float], total: int, distinct: int, ends: int):
+        words, counts = np.array(top, np.int64).reshape(-1, 2).T.copy()
+        order = np.argsort(words.view(np.uint64))
+        self.words, self.counts = words.view(np.uint64)[order], counts[order]
         self.total, self.distinct, self.ends = total + ends, distinct + (ends > 0), ends
         self.k = len(self.words)
         self.mass = np.concatenate([self.counts + 0.5, np.array([suffix_mass.get(i, 0.0) + 0.5 for i in range(SUFFIXES)]), [ends + 0.5]])
@@ -98,7 +100,7 @@ class Vocabulary:
 
 
 def encoder(v: Vocabulary):
-    """Rows: id, held_out, n_tokens, sequence (classes as unsigned 16-bit), top_base, top_known, other words with counts."""
+    """Rows: id, held_out, n_tokens, sequence (classes as unsigned 32-bit), top_base, top_known, other words with counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -111,8 +113,8 @@ def encoder(v: Vocabulary):
                 c = v.classes(h, s)
                 rows, other = [], c >= v.k
                 logs = np.where(other, 0.0, v.base_log[c])
-                sequence = c.astype("<u2")
-                end = np.array([v.size - 1], "<u2").tobytes()
+                sequence = c.astype("<u4")
+                end = np.array([v.size - 1], "<u4").tobytes()
                 for i in range(part.num_rows):
                     a, b = firsts[i], firsts[i + 1]
                     mine = other[a:b]
@@ -199,11 +201,12 @@ def pieces_of(at: np.ndarray, size: int) -> list[tuple[int, int]]:
     return out
 
 
-def expected(model: dict, sequences: list[np.ndarray], piece: int = GROUP_TOKENS) -> dict:
-    """Expected counts of starts, moves and emissions (classes by states), and the sum of log10 probabilities."""
+def expected(model: dict, sequences: list[np.ndarray], piece: int = GROUP_TOKENS, total: dict | None = None) -> dict:
+    """Expected counts of starts, moves and emissions (classes by states), and the sum of log10 probabilities, added to ``total``."""
     move, emit = model["move"], model["emit"]
     k, size = len(move), len(emit)
-    total = {"start": np.zeros(k), "move": np.zeros((k, k)), "emit": np.zeros((size, k)), "log": 0.0}
+    # Emissions lie state by state: the cost of a group goes by its tokens, not by the number of classes.
+    total = total or {"start": np.zeros(k), "move": np.zeros((k, k)), "emit": np.zeros((k, size)).T, "log": 0.0}
     for some in groups(sequences):
         seen, at = by_time([sequences[i] for i in some])
         cuts, before = pieces_of(at, piece), [None]
@@ -230,13 +233,13 @@ def expected(model: dict, sequences: list[np.ndarray], piece: int = GROUP_TOKENS
             if not first:
                 total["start"] += alpha[: here[1]].sum(0)
             for s in range(k):
-                total["emit"][:, s] += np.bincount(classes, alpha[:, s], size)
+                np.add.at(total["emit"][:, s], classes, alpha[:, s])
         total["move"] += moves * move
     return total
 
 
 def sequences_of(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u2") for x in column.to_pylist()]
+    return [np.frombuffer(x, "<u4") for x in column.to_pylist()]
 
 
 def held(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.Table, list[np.ndarray]]]:
@@ -244,7 +247,7 @@ def held(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.Ta
     some, size = [], 0
     for batch in batches:
         some.append(batch)
-        size += batch.column(column).nbytes // 2
+        size += batch.column(column).nbytes // 4
         if size >= HELD_TOKENS:
             table = pa.Table.from_batches(some)
             yield table, sequences_of(table.column(column))
@@ -262,19 +265,19 @@ def train(encoded: DataFrame, v: Vocabulary, states: int = STATES, rounds: int =
     for _ in range(rounds):
 
         def counts(batches: Iterator[pa.RecordBatch], model: dict = model) -> Iterator[pa.RecordBatch]:
-            sums: dict = {}
+            sums = None
             for _, sequences in held(batches, 0):
-                for name, value in expected(model, sequences).items():
-                    sums[name] = sums.get(name, 0) + value
+                sums = expected(model, sequences, total=sums)
             if sums:
-                table = np.concatenate([sums["emit"], sums["move"], sums["start"][None], np.full((1, states), sums["log"])])
-                some = np.flatnonzero(table.any(1))
-                yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(np.ascontiguousarray(table[some, i])) for i in range(states))], ["place", *names])
+                used = np.flatnonzero(sums["emit"].any(1))
+                table = np.concatenate([sums["emit"][used], sums["move"], sums["start"][None], np.full((1, states), sums["log"])])
+                places = np.concatenate([used, v.size + np.arange(states + 2)])
+                yield pa.RecordBatch.from_arrays([pa.array(places), *(pa.array(np.ascontiguousarray(x)) for x in table.T)], ["place", *names])
 
         rows = encoded.where("not held_out").select("sequence").mapInArrow(counts, "place long, " + ", ".join(f"{x} double" for x in names))
         table = np.zeros((v.size + states + 2, states))
-        for r in rows.groupBy("place").agg(*[F.sum(x).alias(x) for x in names]).toLocalIterator():
-            table[r[0]] = r[1:]
+        summed = rows.groupBy("place").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
+        table[summed["place"].to_numpy()] = np.stack([summed[x].to_numpy() for x in names], 1)
         emit = table[: v.size] + PRIOR * v.base[:, None]
         move = table[v.size : v.size + states] + 1.0
         first = table[-2] + 1.0
@@ -286,8 +289,11 @@ def train(encoded: DataFrame, v: Vocabulary, states: int = STATES, rounds: int =
     return model
 
 
-def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", states: int = STATES, rounds: int = ROUNDS, classes: int = CLASSES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; every row of ``docs``."""
+def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", states: int = STATES, rounds: int = ROUNDS, classes: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; every row of ``docs``.
+
+    ``classes`` bounds the frequent words; by default PER_ROOT does, and they grow with the training tokens.
+    """
     scratch = Scratch(docs.sparkSession, "hidden-markov")
     slim = docs.select(F.col(doc_id).alias("doc_id"), (fold(F.col(doc_id), FOLDS) == HELD_OUT).alias("held_out"), F.col(text).alias("text"))
     learn = slim.where("not held_out")
@@ -296,6 +302,7 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", states:
     ends = learn.count()
     # Counts by sixteenths of a power of two: about a thousand at most.  The frequent words are those from the lowest level on that leaves
     # no more than ``classes`` of them.
+    classes = int(PER_ROOT * math.sqrt(sums[0])) if classes is None else classes
     level = F.floor(16 * F.log2("n")).cast("int")
     most, least = 0, 1 << 30
     for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), reverse=True):
@@ -303,12 +310,12 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", states:
         if most > classes:
             break
         least = r["level"]
-    found = counts.where(level >= least).select("word", "n", "suffix").collect()
-    top = [(r["word"], r["n"]) for r in found]
+    found = counts.where(level >= least).select("word", "n", "suffix").toArrow()
+    word, n, suffix = (found[x].to_numpy() for x in ("word", "n", "suffix"))
     mass = {r[0]: float(r[1]) for r in counts.groupBy("suffix").agg(F.sum(F.col("n") + 0.5)).collect()}
-    for r in found:
-        mass[r["suffix"]] -= r["n"] + 0.5
-    v = Vocabulary(top, mass, int(sums[0]), int(sums[1]), ends)
+    for k, own in enumerate(np.bincount(suffix, n + 0.5, SUFFIXES).tolist() if len(n) else ()):
+        mass[k] = mass.get(k, 0.0) - own
+    v = Vocabulary(np.stack([word, n], 1), mass, int(sums[0]), int(sums[1]), ends)
     kind = slim.schema["doc_id"].dataType.simpleString()
     encoded = slim.mapInArrow(encoder(v), f"row long, doc_id {kind}, held_out boolean, n_tokens long, sequence binary, top_base double, top_known long, words array<long>, suffixes array<short>, counts array<long>")
     encoded = scratch.table(encoded, "encoded")
