@@ -193,6 +193,14 @@ def test_expected_counts_against_all_paths():
             assert got[name] == pytest.approx(value)
 
 
+def test_classes_beyond_sixteen_bits():
+    words, suffixes, _ = hidden_markov.tokens(pa.array([" ".join(f"w{i}" for i in range(80_000))]))
+    v = hidden_markov.Vocabulary([(int(w), 1) for w in words[:70_000].view(np.int64)], {}, 70_000, 70_000, 1)
+    got = v.classes(words, suffixes)
+    assert (v.words[got[:70_000]] == words[:70_000]).all()
+    assert (got[70_000:] == 70_000 + suffixes[70_000:].astype(int)).all()
+
+
 def test_scores_against_plain_recursion(spark):
     rng = random.Random(9)
     vocab = [f"{a}{b}" for a in "abcd" for b in ("ing", "er", "x", "ed")]

@@ -93,8 +93,9 @@ class Vocabulary:
         self.base_log = np.log10((np.concatenate([self.counts, np.zeros(SUFFIXES), [ends]]) + 0.5) / self.denominator)
 
     def classes(self, hashes: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
+        suffixes = suffixes.astype(np.int64)
         if not self.k:
-            return suffixes.astype(np.int64)
+            return suffixes
         at = np.minimum(np.searchsorted(self.words, hashes), self.k - 1)
         return np.where(self.words[at] == hashes, at, self.k + suffixes)
 
