@@ -10,11 +10,11 @@ for a frequent word and 8 states, some 2 MB for 80 million tokens and some 900 M
 documents hold beyond the frequent words is joined with the counts by hash, as one row for each document and word.
 
 Training: each partition runs the scaled forward-backward recursion over its documents, many at once, and returns expected
-counts by class; Spark adds them up, the driver holds parameters only.  Whole documents are recursed over: of one with more than
-GROUP_TOKENS tokens the forward variables are kept at the ends of pieces and made again in between.  Rounds end when a token's mean log10
+counts by class; Spark adds them up, the driver holds parameters only.  Whole documents are recursed over: where they have
+more than PIECE_TOKENS tokens together the forward variables are kept at the ends of pieces and made again in between.  Rounds end when a token's mean log10
 probability gains less than GAIN, or after ROUNDS.  Scoring runs the scaled forward recursion over the whole sequence.
 
-Words are compared by a 64-bit hash.  Nulls: a null text is empty and has just the end token; a null id is crc32 of the empty
+Words are compared by 64 bits: 56 of a hash and 8 of the suffix class.  Nulls: a null text is empty and has just the end token; a null id is crc32 of the empty
 text.  Repeated rows are scored each and counted each.  Without training rows counts are 0 and every class is equally likely.
 Other columns are not read, whatever their names; an empty table gives an empty result.
 """
@@ -33,6 +33,7 @@ from .common import Scratch, fold
 from .textscan import _ODD, lowered, mix, span_hashes, text_bytes, word_spans
 
 PER_ROOT = 4.0
+#: A power of two: a word's hash holds its suffix class in the lowest bits.
 SUFFIXES = 256
 STATES = 8
 ROUNDS = 6
@@ -41,8 +42,12 @@ GAIN = 0.02
 STAY = 0.9
 PRIOR = 200.0
 FOLDS, HELD_OUT = 5, 1
-#: Tokens in a recursion, and tokens held (four bytes each) to sort documents by length.
-GROUP_TOKENS, HELD_TOKENS = 1 << 18, 1 << 22
+#: Tokens recursed over together, those of them whose variables are held at once, and tokens held (four bytes each) to sort documents
+#: by length.
+GROUP_TOKENS, PIECE_TOKENS, HELD_TOKENS = 1 << 21, 1 << 18, 1 << 22
+
+
+_SUFFIX = (mix(np.arange(1 << 16, dtype=np.uint64) * _ODD) % np.uint64(SUFFIXES)).astype(np.int16)
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,31 +55,43 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw, at = text_bytes(column)
     raw = lowered(raw)
     starts, ends, firsts = word_spans(raw, at)
-    last = raw[ends - 1].astype(np.uint64) if len(ends) else np.zeros(0, np.uint64)
     # A word of one byte has no byte before its last; 0 never occurs inside a word's suffix otherwise.
-    before = np.where(ends - starts > 1, raw[np.maximum(ends - 2, 0)], 0).astype(np.uint64) if len(ends) else last
-    suffix = (mix((before << np.uint64(8) | last) * _ODD) % np.uint64(SUFFIXES)).astype(np.int16)
-    return span_hashes(raw, starts, ends), suffix, firsts
+    before = raw[np.maximum(ends - 2, 0)].astype(np.uint16) * (ends - starts > 1)
+    suffix = _SUFFIX[before << np.uint16(8) | raw[ends - 1]]
+    return span_hashes(raw, starts, ends) & ~np.uint64(SUFFIXES - 1) | suffix.astype(np.uint64), suffix, firsts
+
+
+def runs(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]]))
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """word, suffix, n: counts of a partition, put out whenever a million distinct words are held."""
-    words, suffixes, n = np.zeros(0, np.uint64), np.zeros(0, np.int16), np.zeros(0, np.int64)
+    """word, n: counts of a partition, put out whenever half a million distinct words are held."""
+    some, size = [], 0
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(suffixes), pa.array(n)], ["word", "suffix", "n"])
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        words, n = (np.concatenate(x) for x in zip(*some, strict=True))
+        order = np.argsort(words)
+        words = words[order]
+        at = runs(words)
+        return words[at], np.add.reduceat(n[order], at) if len(at) else n
 
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
-            h, s, _ = tokens(batch.column(0).slice(at, 1000))
-            u, first, c = np.unique(h, return_index=True, return_counts=True)
-            both, where, inverse = np.unique(np.concatenate([words, u]), return_index=True, return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([n, c]), len(both)).astype(np.int64)
-            words, suffixes = both, np.concatenate([suffixes, s[first]])[where]
-            if len(words) > 1_000_000:
-                yield out()
-                words, suffixes, n = words[:0], suffixes[:0], n[:0]
-    yield out()
+            h = np.sort(tokens(batch.column(0).slice(at, 1000))[0])
+            first = runs(h)
+            some.append((h[first], np.diff(np.append(first, len(h)))))
+            size += len(first)
+            if size > 1 << 20:
+                some = [merged()]
+                size = len(some[0][0])
+                if size > 1 << 19:
+                    yield pa.RecordBatch.from_arrays([pa.array(some[0][0].view(np.int64)), pa.array(some[0][1])], ["word", "n"])
+                    some, size = [], 0
+    if some:
+        words, n = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
 
 
 class Vocabulary:
@@ -85,7 +102,7 @@ class Vocabulary:
         order = np.argsort(words.view(np.uint64))
         self.words, self.counts = words.view(np.uint64)[order], counts[order]
         self.total, self.distinct, self.ends = total + ends, distinct + (ends > 0), ends
-        self.k = len(self.words)
+        self.k, self.first = len(self.words), None
         self.mass = np.concatenate([self.counts + 0.5, np.array([suffix_mass.get(i, 0.0) + 0.5 for i in range(SUFFIXES)]), [ends + 0.5]])
         self.size = len(self.mass)
         self.base = self.mass / self.mass.sum()
@@ -93,11 +110,24 @@ class Vocabulary:
         self.base_log = np.log10((np.concatenate([self.counts, np.zeros(SUFFIXES), [ends]]) + 0.5) / self.denominator)
 
     def classes(self, hashes: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
-        suffixes = suffixes.astype(np.int64)
+        """Classes of words.  Words are in order of their evenly spread hashes, so the leading bits tell where to look."""
+        out = suffixes.astype(np.int64) + self.k
         if not self.k:
-            return suffixes
-        at = np.minimum(np.searchsorted(self.words, hashes), self.k - 1)
-        return np.where(self.words[at] == hashes, at, self.k + suffixes)
+            return out
+        shift = np.uint64(64 - self.k.bit_length())
+        if self.first is None:
+            self.first = np.searchsorted(self.words >> shift, np.arange((1 << self.k.bit_length()) + 1, dtype=np.uint64))
+        leading = (hashes >> shift).astype(np.int64)
+        at, stop = self.first[leading], self.first[leading + 1]
+        left = np.flatnonzero(at < stop)
+        while len(left):
+            here = at[left]
+            hit = self.words[here] == hashes[left]
+            out[left[hit]] = here[hit]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < stop[left]]
+        return out
 
 
 def encoder(v: Vocabulary):
@@ -110,25 +140,33 @@ def encoder(v: Vocabulary):
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
+                size = part.num_rows
                 h, s, firsts = tokens(part.column(2))
                 c = v.classes(h, s)
-                rows, other = [], c >= v.k
-                logs = np.where(other, 0.0, v.base_log[c])
-                sequence = c.astype("<u4")
-                end = np.array([v.size - 1], "<u4").tobytes()
-                for i in range(part.num_rows):
-                    a, b = firsts[i], firsts[i + 1]
-                    mine = other[a:b]
-                    words, first, n = np.unique(h[a:b][mine], return_index=True, return_counts=True)
-                    rows.append((b - a + 1, sequence[a:b].tobytes() + end, float(logs[a:b].sum() + v.base_log[-1]), int((~mine).sum() + (v.ends > 0)), words.view(np.int64), s[a:b][mine][first], n))
-                cols = list(zip(*rows, strict=True))
-                lists = [pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.list_(pa.int16())), pa.array(cols[6], pa.list_(pa.int64()))]
-                ids = pa.array(np.arange(serial, serial + part.num_rows))
-                serial += part.num_rows
+                of = np.repeat(np.arange(size), np.diff(firsts))
+                frequent = c < v.k
+                base = np.bincount(of[frequent], v.base_log[c[frequent]], size) + v.base_log[-1]
+                known = np.bincount(of[frequent], minlength=size) + (v.ends > 0)
+                sequence = np.full(len(c) + size, v.size - 1, "<u4")
+                sequence[np.arange(len(c)) + of] = c
+                bounds = firsts + np.arange(size + 1)
+                offsets = pa.py_buffer((4 * bounds).astype(np.int32))
+                # Other words of each row: rows and ranks of words are sorted as one number.
+                u, rank = np.unique(h[~frequent], return_inverse=True)
+                pairs = np.sort(of[~frequent] * len(u) + rank)
+                first = runs(pairs)
+                row, rank = np.divmod(pairs[first], max(1, len(u)))
+                lists = pa.array(np.searchsorted(row, np.arange(size + 1)), pa.int32())
+                n = np.diff(np.append(first, len(pairs)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, part.column(0), part.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2]), pa.array(cols[3], pa.int64()), *lists],
-                    ["row", "doc_id", "held_out", "n_tokens", "sequence", "top_base", "top_known", "words", "suffixes", "counts"],
-                )
+                    [
+                        pa.array(np.arange(serial, serial + size)), part.column(0), part.column(1), pa.array(np.diff(bounds)),
+                        pa.Array.from_buffers(pa.binary(), size, [None, offsets, pa.py_buffer(sequence)]), pa.array(base), pa.array(known),
+                        pa.ListArray.from_arrays(lists, pa.array(u[rank].view(np.int64))), pa.ListArray.from_arrays(lists, pa.array(n)),
+                    ],
+                    ["row", "doc_id", "held_out", "n_tokens", "sequence", "top_base", "top_known", "words", "counts"],
+                )
+                serial += size
 
     return run
 
@@ -161,32 +199,40 @@ def by_time(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     Sequences are given longest first, so those that still run are the first ones at every time."""
     lengths = np.array([len(x) for x in sequences])
     at = np.concatenate([[0], np.cumsum(np.searchsorted(-lengths, -np.arange(lengths[0]), "left"))])
-    time = np.arange(at[-1]) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    place = at[np.arange(at[-1], dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)]
+    place += np.repeat(np.arange(len(sequences), dtype=np.int32), lengths)
     seen = np.empty(at[-1], np.int64)
-    seen[at[time] + np.repeat(np.arange(len(sequences)), lengths)] = np.concatenate(sequences)
+    seen[place] = np.concatenate(sequences)
     return seen, at
 
 
 def forward(model: dict, emitted: np.ndarray, at: np.ndarray, a: np.ndarray | None, alpha: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The scaled forward variables after the times that ``at`` bounds, and the scales; ``alpha`` takes those of every time."""
-    start, move, ones = model["start"], model["move"], np.ones(len(model["start"]))
-    scale = np.empty(len(emitted))
+    """The scaled forward variables after the times that ``at`` bounds, and the scales; ``alpha`` takes those of every time.
+    A state is a row everywhere, so that each step goes along the sequences."""
+    start, back = model["start"][:, None], np.ascontiguousarray(model["move"].T)
+    ones, scale = np.ones(len(start), emitted.dtype), np.empty(emitted.shape[1], emitted.dtype)
     for low, high in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        a = emitted[low:high] * start if a is None else (a[: high - low] @ move) * emitted[low:high]
-        s = np.dot(a, ones, out=scale[low:high])
-        a = np.divide(a, s[:, None], out=None if alpha is None else alpha[low:high])
+        e = emitted[:, low:high]
+        if a is None:
+            a = e * start
+        else:
+            a = back @ (a if a.shape[1] == high - low else a[:, : high - low])
+            a *= e
+        s = np.dot(ones, a, out=scale[low:high])
+        a = np.divide(a, s, out=a if alpha is None else alpha[:, low:high])
     return a, scale
 
 
 def log_likelihoods(model: dict, sequences: list[np.ndarray]) -> np.ndarray:
     """log10 of each sequence's probability, by the scaled forward recursion."""
     out = np.zeros(len(sequences))
+    emit = np.ascontiguousarray(model["emit"].T)
     for some in groups(sequences):
         seen, at = by_time([sequences[i] for i in some])
         a, logs = None, np.zeros(len(some))
-        for first, stop in pieces_of(at, GROUP_TOKENS):
+        for first, stop in pieces_of(at, PIECE_TOKENS):
             here = at[first : stop + 1] - at[first]
-            a, scale = forward(model, model["emit"][seen[at[first] : at[stop]]], here, a)
+            a, scale = forward(model, np.take(emit, seen[at[first] : at[stop]], 1), here, a)
             logs += np.bincount(np.arange(here[-1]) - np.repeat(here[:-1], np.diff(here)), np.log10(scale), len(some))
         out[some] = logs
     return out
@@ -202,39 +248,41 @@ def pieces_of(at: np.ndarray, size: int) -> list[tuple[int, int]]:
     return out
 
 
-def expected(model: dict, sequences: list[np.ndarray], piece: int = GROUP_TOKENS, total: dict | None = None) -> dict:
-    """Expected counts of starts, moves and emissions (classes by states), and the sum of log10 probabilities, added to ``total``."""
-    move, emit = model["move"], model["emit"]
-    k, size = len(move), len(emit)
+def expected(model: dict, sequences: list[np.ndarray], piece: int = PIECE_TOKENS, total: dict | None = None) -> dict:
+    """Expected counts of starts, moves and emissions (classes by states), and the sum of log10 probabilities, added to ``total``.
+    The recursion has the precision of ``model``, the sums have eight bytes."""
+    move, emit = model["move"], np.ascontiguousarray(model["emit"].T)
+    k, size = emit.shape
     # Emissions lie state by state: the cost of a group goes by its tokens, not by the number of classes.
     total = total or {"start": np.zeros(k), "move": np.zeros((k, k)), "emit": np.zeros((k, size)).T, "log": 0.0}
     for some in groups(sequences):
         seen, at = by_time([sequences[i] for i in some])
         cuts, before = pieces_of(at, piece), [None]
         for first, stop in cuts[:-1]:
-            before.append(forward(model, emit[seen[at[first] : at[stop]]], at[first : stop + 1] - at[first], before[-1])[0])
-        beta, moves = np.ones((len(some), k)), np.zeros((k, k))
+            before.append(forward(model, np.take(emit, seen[at[first] : at[stop]], 1), at[first : stop + 1] - at[first], before[-1])[0])
+        beta, moves = np.ones((k, len(some)), emit.dtype), np.zeros((k, k))
         for (first, stop), earlier in zip(reversed(cuts), reversed(before), strict=True):
             classes, here = seen[at[first] : at[stop]], at[first : stop + 1] - at[first]
-            ahead = emit[classes]
+            ahead = np.take(emit, classes, 1)
             alpha = np.empty_like(ahead)
             _, scale = forward(model, ahead, here, earlier, alpha)
-            total["log"] += float(np.log10(scale).sum())
-            ahead /= scale[:, None]
+            total["log"] += float(np.log10(scale).sum(dtype=float))
+            ahead /= scale
+            bounds = here.tolist()
             for t in range(stop - first - 1, -1, -1):
-                low, high = int(here[t]), int(here[t + 1])
+                low, high = bounds[t], bounds[t + 1]
                 n = high - low
-                x = ahead[low:high]
-                x *= beta[:n]
-                prior = alpha[int(here[t - 1]) : int(here[t - 1]) + n] if t else earlier
-                alpha[low:high] *= beta[:n]
+                x, now, behind = ahead[:, low:high], alpha[:, low:high], beta[:, :n]
+                x *= behind
+                now *= behind
+                prior = alpha[:, bounds[t - 1] : bounds[t - 1] + n] if t else earlier
                 if prior is not None:
-                    moves += prior[:n].T @ x
-                    np.dot(x, move.T, out=beta[:n])
+                    moves += prior[:, :n] @ x.T
+                    np.matmul(move, x, out=behind)
             if not first:
-                total["start"] += alpha[: here[1]].sum(0)
+                total["start"] += alpha[:, : here[1]].sum(1, dtype=float)
             for s in range(k):
-                np.add.at(total["emit"][:, s], classes, alpha[:, s])
+                np.add.at(total["emit"][:, s], classes, alpha[s].astype(float))
         total["move"] += moves * move
     return total
 
@@ -261,11 +309,15 @@ def held(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.Ta
 def train(encoded: DataFrame, v: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> dict:
     """Baum-Welch with a prior of PRIOR unigram tokens for each state; expected counts come back as one row for each class."""
     model = start_model(v, states)
+    model["emit"] = np.asfortranarray(model["emit"])
     names = [f"s{i}" for i in range(states)]
     before = None
     for _ in range(rounds):
 
-        def counts(batches: Iterator[pa.RecordBatch], model: dict = model) -> Iterator[pa.RecordBatch]:
+        # Four bytes a number in the recursions of training; scores have eight.
+        short = {name: x.astype(np.float32) for name, x in model.items()}
+
+        def counts(batches: Iterator[pa.RecordBatch], model: dict = short) -> Iterator[pa.RecordBatch]:
             sums = None
             for _, sequences in held(batches, 0):
                 sums = expected(model, sequences, total=sums)
@@ -282,7 +334,7 @@ def train(encoded: DataFrame, v: Vocabulary, states: int = STATES, rounds: int =
         emit = table[: v.size] + PRIOR * v.base[:, None]
         move = table[v.size : v.size + states] + 1.0
         first = table[-2] + 1.0
-        model = {"start": first / first.sum(), "move": move / move.sum(1, keepdims=True), "emit": emit / emit.sum(0)}
+        model = {"start": first / first.sum(), "move": move / move.sum(1, keepdims=True), "emit": np.asfortranarray(emit / emit.sum(0))}
         log = table[-1, 0] / max(1, v.total)
         if before is not None and log - before < GAIN:
             break
@@ -298,7 +350,8 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", states:
     scratch = Scratch(docs.sparkSession, "hidden-markov")
     slim = docs.select(F.col(doc_id).alias("doc_id"), (fold(F.col(doc_id), FOLDS) == HELD_OUT).alias("held_out"), F.col(text).alias("text"))
     learn = slim.where("not held_out")
-    counts = scratch.table(learn.select("text").mapInArrow(count_words, "word long, suffix short, n long").groupBy("word").agg(F.sum("n").alias("n"), F.max("suffix").alias("suffix")), "words")
+    counts = scratch.table(learn.select("text").mapInArrow(count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    suffix_of = F.col("word").bitwiseAND(F.lit(SUFFIXES - 1)).cast("int")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = learn.count()
     # Counts by sixteenths of a power of two: about a thousand at most.  The frequent words are those from the lowest level on that leaves
@@ -311,14 +364,14 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", states:
         if most > classes:
             break
         least = r["level"]
-    found = counts.where(level >= least).select("word", "n", "suffix").toArrow()
-    word, n, suffix = (found[x].to_numpy() for x in ("word", "n", "suffix"))
-    mass = {r[0]: float(r[1]) for r in counts.groupBy("suffix").agg(F.sum(F.col("n") + 0.5)).collect()}
-    for k, own in enumerate(np.bincount(suffix, n + 0.5, SUFFIXES).tolist() if len(n) else ()):
+    found = counts.where(level >= least).select("word", "n").toArrow()
+    word, n = (found[x].to_numpy() for x in ("word", "n"))
+    mass = {r[0]: float(r[1]) for r in counts.groupBy(suffix_of).agg(F.sum(F.col("n") + 0.5)).collect()}
+    for k, own in enumerate(np.bincount(word & (SUFFIXES - 1), n + 0.5, SUFFIXES).tolist() if len(n) else ()):
         mass[k] = mass.get(k, 0.0) - own
     v = Vocabulary(np.stack([word, n], 1), mass, int(sums[0]), int(sums[1]), ends)
     kind = slim.schema["doc_id"].dataType.simpleString()
-    encoded = slim.mapInArrow(encoder(v), f"row long, doc_id {kind}, held_out boolean, n_tokens long, sequence binary, top_base double, top_known long, words array<long>, suffixes array<short>, counts array<long>")
+    encoded = slim.mapInArrow(encoder(v), f"row long, doc_id {kind}, held_out boolean, n_tokens long, sequence binary, top_base double, top_known long, words array<long>, counts array<long>")
     encoded = scratch.table(encoded, "encoded")
     model = train(encoded, v, states, rounds)
 
@@ -328,10 +381,10 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", states:
             yield from table.select(range(6)).append_column("classes", logs).to_batches()
 
     states_of = encoded.select("row", "doc_id", "held_out", "n_tokens", "top_base", "top_known", "sequence").mapInArrow(scores, f"row long, doc_id {kind}, held_out boolean, n_tokens long, top_base double, top_known long, classes double")
-    others = encoded.select("row", F.explode(F.arrays_zip("words", "suffixes", "counts")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.suffixes").alias("suffix"), F.col("w.counts").alias("n"))
+    others = encoded.select("row", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     known = counts.select("word", F.col("n").alias("c"))
     joined = others.join(known, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    whole = F.element_at(F.array(*[F.lit(float(x)) for x in v.mass[v.k : v.k + SUFFIXES]]), F.col("suffix").cast("int") + 1)
+    whole = F.element_at(F.array(*[F.lit(float(x)) for x in v.mass[v.k : v.k + SUFFIXES]]), suffix_of + 1)
     per_row = joined.groupBy("row").agg(
         F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / F.lit(float(v.denominator)))).alias("other_base"),
         F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / whole)).alias("other_share"),
