@@ -201,6 +201,51 @@ def test_classes_beyond_sixteen_bits():
     assert (got[70_000:] == 70_000 + suffixes[70_000:].astype(int)).all()
 
 
+@pytest.mark.parametrize("held", [3, 40, 1 << 20])
+def test_word_counts_and_encoding_against_loops(monkeypatch, held):
+    rng = random.Random(5)
+    texts = [None if i % 17 == 0 else " ".join(rng.choice(("The", "cat", "a", "é", "日本", f"w{rng.randrange(40)}")) for _ in range(rng.randrange(9))) for i in range(2300)]
+    texts += ["", " \n "]
+    monkeypatch.setattr(hidden_markov, "HELD_WORDS", held)
+    lower = [WORD.findall((t or "").lower()) for t in texts]
+    want = collections.Counter(w for t in lower for w in t)
+    column = pa.array(texts, pa.string())
+    parts = [pa.RecordBatch.from_arrays([column.slice(a, 1100)], ["text"]) for a in range(0, len(texts), 1100)]
+    names = {w: int(hidden_markov.tokens(pa.array([w]))[0].view(np.int64)[0]) for w in want}
+    got = collections.Counter()
+    for batch in hidden_markov.count_words(iter(parts)):
+        for w, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            got[w] += n
+    assert got == {names[w]: n for w, n in want.items()}
+    assert all(names[w] % hidden_markov.SUFFIXES == hidden_markov.tokens(pa.array([w]))[1][0] for w in want)
+
+    own = [w for w, _ in want.most_common(6)]
+    v = hidden_markov.Vocabulary([(names[w], want[w]) for w in own], {}, sum(want.values()), len(want), len(texts))
+    monkeypatch.setattr("pyspark.TaskContext.get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 1})()))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([False] * len(texts)), column], ["doc_id", "held_out", "text"])
+    encoded = [r for b in hidden_markov.encoder(v)(iter([rows.slice(0, 1500), rows.slice(1500)])) for r in b.to_pylist()]
+    assert [r["row"] for r in encoded] == [(1 << 40) + i for i in range(len(texts))]
+    of = {int(w): i for i, w in enumerate(v.words.view(np.int64))}
+    for r, words in zip(encoded, lower, strict=True):
+        classes = [of.get(names[w], v.k + names[w] % hidden_markov.SUFFIXES) for w in words]
+        assert np.frombuffer(r["sequence"], "<u4").tolist() == [*classes, v.size - 1]
+        assert r["n_tokens"] == len(words) + 1
+        assert dict(zip(r["words"], r["counts"], strict=True)) == collections.Counter(names[w] for w in words if w not in own)
+        assert r["top_known"] == sum(w in own for w in words) + 1
+        assert r["top_base"] == pytest.approx(sum(v.base_log[of[names[w]]] for w in words if w in own) + v.base_log[-1])
+
+
+def test_short_numbers_give_the_counts_of_long_ones():
+    rng = np.random.default_rng(3)
+    emit, move = rng.random((300, 8)) ** 6, rng.random((8, 8)) ** 4
+    model = {"start": np.full(8, 1 / 8), "move": move / move.sum(1, keepdims=True), "emit": emit / emit.sum(0)}
+    seqs = [rng.integers(0, 300, n) for n in [5000, *rng.integers(1, 60, 200)]]
+    short = {name: np.asfortranarray(x).astype(np.float32) for name, x in model.items()}
+    want, got = hidden_markov.expected(model, seqs), hidden_markov.expected(short, seqs, 777)
+    for name in ("start", "move", "emit", "log"):
+        assert got[name] == pytest.approx(want[name], rel=1e-4, abs=1e-4)
+
+
 def test_scores_against_plain_recursion(spark):
     rng = random.Random(9)
     vocab = [f"{a}{b}" for a in "abcd" for b in ("ing", "er", "x", "ed")]

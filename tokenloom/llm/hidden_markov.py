@@ -45,6 +45,8 @@ FOLDS, HELD_OUT = 5, 1
 #: Tokens recursed over together, those of them whose variables are held at once, and tokens held (four bytes each) to sort documents
 #: by length.
 GROUP_TOKENS, PIECE_TOKENS, HELD_TOKENS = 1 << 21, 1 << 18, 1 << 22
+#: Distinct words of a partition whose counts are held.
+HELD_WORDS = 1 << 20
 
 
 _SUFFIX = (mix(np.arange(1 << 16, dtype=np.uint64) * _ODD) % np.uint64(SUFFIXES)).astype(np.int16)
@@ -67,7 +69,7 @@ def runs(ordered: np.ndarray) -> np.ndarray:
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """word, n: counts of a partition, put out whenever half a million distinct words are held."""
+    """word, n: counts of a partition, put out whenever merging leaves more than half of HELD_WORDS."""
     some, size = [], 0
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -83,10 +85,10 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = runs(h)
             some.append((h[first], np.diff(np.append(first, len(h)))))
             size += len(first)
-            if size > 1 << 20:
+            if size > HELD_WORDS:
                 some = [merged()]
                 size = len(some[0][0])
-                if size > 1 << 19:
+                if size > HELD_WORDS // 2:
                     yield pa.RecordBatch.from_arrays([pa.array(some[0][0].view(np.int64)), pa.array(some[0][1])], ["word", "n"])
                     some, size = [], 0
     if some:
