@@ -201,12 +201,13 @@ def test_classes_beyond_sixteen_bits():
     assert (got[70_000:] == 70_000 + suffixes[70_000:].astype(int)).all()
 
 
-@pytest.mark.parametrize("held", [3, 40, 1 << 20])
-def test_word_counts_and_encoding_against_loops(monkeypatch, held):
+@pytest.mark.parametrize(("held", "size"), [(3, 1), (40, 300), (1 << 20, 1 << 24)])
+def test_word_counts_and_encoding_against_loops(monkeypatch, held, size):
     rng = random.Random(5)
     texts = [None if i % 17 == 0 else " ".join(rng.choice(("The", "cat", "a", "é", "日本", f"w{rng.randrange(40)}")) for _ in range(rng.randrange(9))) for i in range(2300)]
     texts += ["", " \n "]
     monkeypatch.setattr(hidden_markov, "HELD_WORDS", held)
+    monkeypatch.setattr(hidden_markov, "CUT_BYTES", size)
     lower = [WORD.findall((t or "").lower()) for t in texts]
     want = collections.Counter(w for t in lower for w in t)
     column = pa.array(texts, pa.string())

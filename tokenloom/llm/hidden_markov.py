@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,11 +48,24 @@ FOLDS, HELD_OUT = 5, 1
 GROUP_TOKENS, PIECE_TOKENS, HELD_TOKENS = 1 << 21, 1 << 18, 1 << 22
 #: Distinct words of a partition whose counts are held.
 HELD_WORDS = 1 << 20
+#: Rows cut into words together, and bytes of their texts (or one text).
+CUT_ROWS, CUT_BYTES = 1000, 1 << 24
 
 
 _SUFFIX = (mix(np.arange(1 << 16, dtype=np.uint64) * _ODD) % np.uint64(SUFFIXES)).astype(np.int16)
 
 
+def cuts(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of successive slices with at most CUT_ROWS rows and CUT_BYTES bytes, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        stop = max(first + 1, min(first + CUT_ROWS, int(np.searchsorted(ends, before + CUT_BYTES, "right"))))
+        yield first, stop - first
+        first = stop
+
+
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, suffix classes, and for each text the index of its first word (one entry more)."""
     raw, at = text_bytes(column)
@@ -80,8 +94,8 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return words[at], np.add.reduceat(n[order], at) if len(at) else n
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            h = np.sort(tokens(batch.column(0).slice(at, 1000))[0])
+        for at, rows in cuts(batch.column(0)):
+            h = np.sort(tokens(batch.column(0).slice(at, rows))[0])
             first = runs(h)
             some.append((h[first], np.diff(np.append(first, len(h)))))
             size += len(first)
@@ -140,9 +154,8 @@ def encoder(v: Vocabulary):
 
         serial = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                size = part.num_rows
+            for start, size in cuts(batch.column(2)):
+                part = batch.slice(start, size)
                 h, s, firsts = tokens(part.column(2))
                 c = v.classes(h, s)
                 of = np.repeat(np.arange(size), np.diff(firsts))
